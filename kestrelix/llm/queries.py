@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from kestrelix.llm.language_id import op10_language_id
+from kestrelix.llm.packing import op1_best_fit_packing
+from kestrelix.llm.sharding import op3_sharding
 from kestrelix.llm.topk_search import OP2_SQL, op2_topk_search
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_topk_search, op10_language_id)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_topk_search, op3_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
