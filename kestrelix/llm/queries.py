@@ -6,11 +6,12 @@ from kestrelix.llm.language_id import op10_language_id
 from kestrelix.llm.minhash import op4_minhash_near_dedup
 from kestrelix.llm.packing import op1_best_fit_packing
 from kestrelix.llm.sharding import op3_sharding
+from kestrelix.llm.substring_dedup import op9_substring_dedup
 from kestrelix.llm.topk_search import OP2_SQL, op2_topk_search
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_topk_search, op3_sharding, op4_minhash_near_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_topk_search, op3_sharding, op4_minhash_near_dedup, op9_substring_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
