@@ -93,16 +93,17 @@ def _near(lines: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
     return pairs.where(without(F.col("w"), F.col("p")) == without(F.col("x"), F.col("q"))).select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, kept_text, n_lines, n_removed for every row.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, carry: tuple = ()) -> DataFrame:
+    """doc_id, kept_text, n_lines, n_removed and the struct ``carried`` for every row.
 
     A line goes if an earlier one, in the order (id, place), is equal but for outer white
     space or, where the longer has at least ``min_words`` words, differs by one word inserted,
     deleted or replaced. Blank lines stay. A null text stays null with no lines. Rows that
     repeat both id and text are one document and are answered alike; a null id comes first;
-    other columns are ignored; an empty table gives no rows.
+    columns other than those of ``carry`` are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
+    carried = F.struct(*carry) if carry else F.struct(F.lit(None).cast("int").alias("none"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), carried.alias("carried")).withColumn("key", F.xxhash64("text"))
     cut = rows.where("text is not null").select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     cut = cut.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))).where("line <> ''")
     lines = cut.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
@@ -121,7 +122,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = drops.agg(F.sum(F.size("gone"))).first()[0] or 0
     listed = F.broadcast(drops) if total <= 4 * BROADCAST_ROWS else drops  # of 4 bytes, and 24 a row
     same = rows.doc_id.eqNullSafe(listed.doc_id) & (rows.key == listed.key)
-    out = rows.join(listed, same, "left").select(rows.doc_id, "text", "gone")
+    out = rows.join(listed, same, "left").select(rows.doc_id, "text", "carried", "gone")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))
     return out.select(
@@ -129,6 +130,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        "carried",
     )
 
 
