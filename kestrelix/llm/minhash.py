@@ -238,7 +238,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = sets.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
     stars = banded.join(buckets.select("band", "hub"), "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    clusters, _ = written(components(stars).select("node", F.col("label").alias("cluster")), "clusters")
+    # a set meets at most one hub a band: it keeps the least, and its hubs are linked with that one
+    star, _ = written(stars.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("hubs")), "stars")
+    edges = star.select("a", "b").union(star.select("a", F.explode("hubs").alias("b")).distinct())
+    clusters, _ = written(components(edges).select("node", F.col("label").alias("cluster")), "clusters")
     clusters = clusters.join(sets.select("node", "key1", "n_shingles"), "node")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
     members, _ = written(clusters.join(sizes, "cluster").drop("n_shingles"), "members")
