@@ -38,6 +38,8 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, s
     re-read, not a recomputation.
     """
     spark = df.sparkSession
+    # a union must not promise its inputs' partitioning: adaptive execution may still change it
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

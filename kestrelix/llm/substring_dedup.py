@@ -14,7 +14,6 @@ Once enough runs have gathered they are compacted into one.
 
 from __future__ import annotations
 
-import hashlib
 from functools import partial
 
 import numpy as np
@@ -96,7 +95,7 @@ def _list_windows(batches, window: int):
 def _strip(batches, window: int, removal: str):
     """Removes the words under the listed windows (``removal``: all, listed or none)."""
     for whole in batches:
-        for batch in pieces(whole, "text", 4 << 20):
+        for batch in pieces(whole, "text", 2 << 20):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             listed = batch.column("starts") if removal == "listed" else None
             words, removed, kept = [], [], []
@@ -121,12 +120,6 @@ def _strip(batches, window: int, removal: str):
             )
 
 
-def _digest(batches):
-    for batch in batches:
-        sha = [hashlib.sha256(x).hexdigest() for x in batch.column("kept_text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_words", "n_removed")), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-
 def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -250,4 +243,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     done = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return done.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
