@@ -1 +1 @@
-
+"""No stream operators: the search log is an append-only batch table (``sources.catalog``)."""
