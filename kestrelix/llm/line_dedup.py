@@ -50,10 +50,10 @@ def _place():
 def _near(lines: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier one within one word edit."""
     long = distinct.where(F.col("n") >= min_words - 1)  # the shorter of two may have a word less
-    halves = long.select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
-    mixed = F.struct("h1", "h2")
-    shared = halves.groupBy("half").agg(F.min(mixed).alias("lo"), F.max(mixed).alias("hi")).where("lo <> hi").select("half")
-    picked, _ = written(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct().join(long.select("h1", "h2", "first"), ["h1", "h2"]), "picked")
+    halves = long.select("h1", F.explode(F.array_distinct("halves")).alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("half")
+    near, _ = written(halves.join(shared, "half", "left_semi").select("h1").distinct(), "sharing")
+    picked, _ = written(long.select("h1", "h2", "first").join(_few(near), "h1", "left_semi"), "picked")
     texts = lines.join(_few(picked.select("h1", "h2")), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     texts, _ = written(texts.join(picked, ["h1", "h2"]).select("h1", "h2", "first", _words(F.col("line")).alias("w")), "texts")
 
@@ -111,11 +111,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     halves = F.when(F.col("n") >= min_words - 1, _half_keys(F.col("w"), F.col("n")))
     table, _ = written(w.select("doc_id", "key", "line_no", "h1", "h2", "n", halves.alias("halves")), "lines")
     distinct, _ = written(
-        table.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves")),
+        table.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves")),
         "distinct",
     )
     near, _ = written(_near(lines, distinct, min_words), "near")
-    again = distinct.where("first < last").select("h1", "h2", "first")
+    again = distinct.where("copies > 1").select("h1", "h2", "first")
     gone = table.join(again, ["h1", "h2"]).where(_place() != F.col("first")).select("doc_id", "key", "line_no")
     gone = gone.union(table.join(near, ["h1", "h2"], "left_semi").select("doc_id", "key", "line_no"))
     drops, _ = written(gone.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("gone")), "gone")
