@@ -7,11 +7,12 @@ from kestrelix.llm.language_id import op10_language_id
 from kestrelix.llm.license_scan import op7_license_scan
 from kestrelix.llm.line_dedup import op8_line_dedup
 from kestrelix.llm.minhash import op4_minhash_near_dedup
+from kestrelix.llm.oracles import ORACLES
 from kestrelix.llm.packing import op1_best_fit_packing
 from kestrelix.llm.quality import op6_quality_classifier
 from kestrelix.llm.sharding import op3_sharding
 from kestrelix.llm.substring_dedup import op9_substring_dedup
-from kestrelix.llm.topk_search import OP2_SQL, op2_topk_search
+from kestrelix.llm.topk_search import op2_topk_search
 
 
 def queries() -> dict:
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": OP2_SQL}
+    return dict(ORACLES)
