@@ -237,7 +237,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     banded = sets.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    stars = banded.join(buckets.select("band", "hub"), "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    # written first: with a plain scan on this side, adaptive execution can split a hot band in the join
+    buckets, _ = written(buckets.select("band", "hub"), "buckets")
+    stars = banded.join(buckets, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     # a set meets at most one hub a band: it keeps the least, and its hubs are linked with that one
     star, _ = written(stars.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("hubs")), "stars")
     edges = star.select("a", "b").union(star.select("a", F.explode("hubs").alias("b")).distinct())
