@@ -196,9 +196,11 @@ class FingerprintIndex:
         places = listed.mapInArrow(partial(_list_windows, window=self.window), "w1 long, w2 long, doc_id long, text_key long, start int")
         places, places_path = written(places, "places")
         source = places.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
-        repeats = places.join(source.select("w1", "w2", "least"), ["w1", "w2"]).where("doc_id > least")
+        # written first: with a plain scan on this side, adaptive execution can split a hot window in the join
+        source, source_path = written(source.select("w1", "w2", "least"), "source")
+        repeats = places.join(source, ["w1", "w2"]).where("doc_id > least")
         flagged, flagged_path = written(repeats.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts")), "flagged")
-        remove(self.spark, places_path, candidates_path, ids_path)
+        remove(self.spark, places_path, source_path, candidates_path, ids_path)
 
         marked = _few(flagged.select("doc_id", "text_key"))
         strip = lambda how: partial(_strip, window=self.window, removal=how)
