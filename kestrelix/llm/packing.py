@@ -26,7 +26,7 @@ from kestrelix.llm.scratch import remove, written
 from kestrelix.llm.textops import pieces
 
 BROADCAST_ROWS = 2_000_000  # of 20 bytes: at most 40 MB
-_CACHE = 300_000
+_CACHE = 200_000
 #: a blank beside other white space: there a text is not cut into independent chunks
 _RUN = re.compile(r"\s \s| \s")
 
@@ -111,7 +111,7 @@ def _tokenise(batches, ranks_path: str, pattern: str, end_id: int, capacity: int
     part = TaskContext.get().partitionId()
     seen: Counter = Counter()
     for whole in batches:
-        for batch in pieces(whole, "text"):
+        for batch in pieces(whole, "text", 1 << 20):
             cols = ([], [], [], [], [], [])
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = (tok.ids(text) if text else b"") + end

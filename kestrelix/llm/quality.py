@@ -53,7 +53,7 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _count(batches):
     total = np.zeros(1 << (BITS * ORDER), np.int32)
     for whole in batches:
-        for batch in pieces(whole, "text", 2 << 20):
+        for batch in pieces(whole, "text", 1 << 20):
             np.add.at(total, symbols(batch.column("text"))[0], 1)
     seen = np.flatnonzero(total)
     for at in range(0, len(seen), 100_000):
@@ -102,31 +102,24 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05 * i), 0.95 * i) for i, x in zip((1, 2, 3), d))
 
 
-_dense: dict[int, np.ndarray] = {}
-
-
 def dense_model(model: dict) -> np.ndarray:
-    """log p of every n-gram of the highest order, seen or not; built once a process."""
-    if model["id"] not in _dense:
-        _dense.clear()
-        p = np.full(1, 1.0 / (1 << BITS), np.float32)
-        for k in range(1, ORDER + 1):
-            n = 1 << (BITS * (k - 1))
-            w = np.ones(n, np.float32)
-            w[model["ctx"][k]] = model["w"][k]
-            lower = np.full(1 << BITS, p[0], np.float32) if k == 1 else np.tile(p, (1 << BITS))
-            p = np.repeat(w, 1 << BITS)
-            p *= lower
-            p[model["g"][k]] = model["p"][k]
-        np.log(p, out=p)
-        _dense[model["id"]] = p
-    return _dense[model["id"]]
+    """log p of every n-gram of the highest order, seen or not (64 MB)."""
+    p = np.full(1, 1.0 / (1 << BITS), np.float32)
+    for k in range(1, ORDER + 1):
+        n = 1 << (BITS * (k - 1))
+        w = np.ones(n, np.float32)
+        w[model["ctx"][k]] = model["w"][k]
+        above = np.repeat(w, 1 << BITS)
+        above.reshape(-1, n)[:] *= p  # the lower order, whatever the first symbol
+        above[model["g"][k]] = model["p"][k]
+        p = above
+    return np.log(p, out=p)
 
 
 def _score(batches, shared):
-    table = dense_model(shared.value)
+    table = dense_model(shared.value)  # for one task: workers that stay alive do not keep it
     for whole in batches:
-        for batch in pieces(whole, "text", 2 << 20):
+        for batch in pieces(whole, "text", 1 << 20):
             code, sizes, bound = symbols(batch.column("text"))
             total = np.concatenate([[0.0], np.cumsum(table[code], dtype=np.float64)])
             sums = total[bound[1:]] - total[bound[:-1]]
@@ -170,7 +163,7 @@ def score_quality(
         return rows.select("doc_id", F.nullif("lang", F.lit("")).alias("lang"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), none.alias("perplexity"), none.alias("steadied"), none.alias("threshold"), F.lit(True).alias("keep"))
     probabilities, weights = kneser_ney(counts)
     p, w = probabilities.toArrow(), weights.toArrow()  # at most 64**4 and 64**3 rows, and lower orders
-    model = {"id": hash((p.num_rows, float(p["p"].to_numpy().sum())))}
+    model = {}
     for name, table, cols in (("p", p, ("g", "p")), ("w", w, ("ctx", "w"))):
         k = table["k"].to_numpy()
         for c in cols:

@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 2000
 _own: list[str] = []
 
 
@@ -40,6 +41,10 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, s
     spark = df.sparkSession
     # a union must not promise its inputs' partitioning: adaptive execution may still change it
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    # whole texts travel to Python in Arrow batches: smaller ones keep its workers small
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 21  # bytes hashed at once
+SEGMENT = 1 << 19  # bytes hashed at once; tables of powers stay in memory, 16 bytes each
 SPACES = (9, 10, 11, 12, 13, 32)
 
 _rng = np.random.default_rng(20260117)
