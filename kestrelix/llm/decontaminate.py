@@ -110,7 +110,8 @@ def find_leaks(
     than ``min_words`` words and null texts never match. Repeated rows count once; an empty
     table on either side gives no rows; other columns are ignored.
 
-    No match of a ``coverage`` of 0.7 or more
+    A changed capitalised word at the start of a text, sentence or line counts if it is a
+    name in both and no other name contradicts it. No match of a ``coverage`` of 0.7 or more
     on one diagonal is lost; words on several diagonals add up where LINKED of them stand in a row.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("t")).where("t is not null")
@@ -140,11 +141,12 @@ def find_leaks(
     few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
     # repeated rows give repeated words of an item, which are counted once; no text is shuffled while few are broadcast
     texts = rows.withColumn("key", F.xxhash64("text")).join(few, ["doc_id", "key"])
-    texts = texts.select("doc_id", "hit", raw_words(F.col("text")).alias("doc_raw"), template_words(F.col("text")).alias("doc_words"))
-    texts = texts.withColumn("hit", F.explode_outer("hit")).select("doc_id", "hit.*", "doc_raw", "doc_words")
+    texts = texts.select("doc_id", "hit", raw_words(F.col("text")).alias("doc_raw"), template_words(F.col("text")).alias("doc_words"), _marked(F.col("text")).alias("doc_marked"))
+    texts = texts.withColumn("hit", F.explode_outer("hit")).select("doc_id", "hit.*", "doc_raw", "doc_words", "doc_marked")
     pairs = texts.join(F.broadcast(items) if items.count() <= ITEM_ROWS else items, "item_id")
     # the stretch of the document on the diagonal, word by word against the item
     now = lambda c, i: F.when(F.col("d") + i >= 0, F.get(c, F.col("d") + i))
+    capital = lambda w: F.coalesce(F.startswith(w, F.lit(NAME)), F.lit(False))
     lined = F.transform(
         F.sequence(F.lit(0), F.size("raw") - 1),
         lambda i: F.struct(
@@ -153,6 +155,7 @@ def find_leaks(
             now("doc_raw", i).alias("now"),
             now("doc_words", i).alias("form"),
             F.get("item", i).alias("slot"),
+            (capital(F.get("marked", i)) & capital(now("doc_marked", i))).alias("name"),
         ),
     )
     same = lambda x: F.coalesce((x["was"] == x["now"]) | (x["slot"] == x["form"]), F.lit(False))
@@ -163,10 +166,15 @@ def find_leaks(
         *on,
         F.filter("lined", same).alias("met"),
         F.filter("lined", lambda x: same(x) & _slot(x["slot"])).alias("slots"),
+        F.filter("lined", lambda x: x["name"]).alias("names"),
     )
-    pairs = pairs.withColumn("consistent", F.forall("slots", agree(F.col("slots"))))
+    pairs = pairs.withColumn("consistent", F.forall("slots", agree(F.col("slots")))).withColumn("known", F.transform("met", lambda x: x["i"]))
+    pairs = pairs.withColumn("started", F.filter("names", lambda x: ~F.array_contains("known", x["i"]) & agree(F.col("names"))(x)))
     counted = F.filter("met", lambda x: F.col("consistent") | ~_slot(x["slot"]) | (x["was"] == x["now"]))
-    pairs = pairs.select(*on, "consistent", F.size("slots").alias("n_slots"), F.transform(counted, lambda x: x["i"]).alias("at"))
+    # started words only complete a diagonal that reaches the coverage by itself
+    enough = (F.size(counted) + F.size("started")) / F.col("m") >= coverage
+    counted = F.concat(counted, F.when(enough, F.col("started")).otherwise(F.filter("started", lambda x: F.lit(False))))
+    pairs = pairs.select(*on, "consistent", (F.size("slots") + F.size("started")).alias("n_slots"), F.transform(counted, lambda x: x["i"]).alias("at"))
     # written: a filter on ``at`` would be pushed down and compare all words again
     pairs, _ = written(pairs, "lined")
     in_row = F.exists("at", lambda i: F.forall(F.sequence(F.lit(1), F.lit(LINKED - 1)), lambda s: F.array_contains("at", i + s)))

@@ -22,3 +22,13 @@ def test_leaks_with_scattered_changes(spark, length, step):
     rows = find_leaks(docs, benchmark(spark, [(1, " ".join(item)), (2, sentence(rng, 30))])).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(i, 1) for i in range(9)]
     assert {r["start_word"] for r in rows} == set(range(9))
+
+
+def test_leaks_with_opening_names_changed(spark):
+    item = "Alice has 12 apples and gives 3. Bob has 7 apples and 4 pears. How many in total?"
+    copy = "Maria has 15 apples and gives 6. Piotr has 9 apples and 5 pears. How many in total?"
+    mixed = "Maria has 15 apples and gives 6. Maria has 9 apples and 5 pears. How many in total?"
+    docs = table(spark, [f"{'so ' * before}\n{t}" for t in (copy, mixed) for before in range(8)])
+    rows = {r["doc_id"]: r for r in find_leaks(docs, benchmark(spark, [(1, item)])).collect()}
+    assert [rows[i]["coverage"] for i in range(8)] == [1.0] * 8
+    assert [rows[i]["coverage"] for i in range(8, 16)] == [pytest.approx(16 / 18)] * 8  # one name for two does not count
