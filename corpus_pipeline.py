@@ -43,8 +43,8 @@ def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return _without(docs, near_duplicates(docs).where("not kept"), "copies")
+    """One document of each group of near-duplicates stays; stages link from a similarity of 0.8."""
+    return _without(docs, near_duplicates(docs, percent=80).where("not kept"), "copies")
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
