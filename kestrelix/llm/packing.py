@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
+import json
 from functools import lru_cache, partial
 import re
 
@@ -81,15 +82,25 @@ def _encoder(ranks_path: str, pattern: str):
 class ChunkTokenizer:
     """Ids of whole texts as little-endian uint32 bytes.
 
-    No token crosses a blank that has no white space beside it, so a text is cut there and
-    the ids of chunks are kept in a bounded cache. Other texts are encoded in one go.
+    A text is first cut at the vocabulary's added tokens (``added``: string to id), each of
+    which is one id. No other token crosses a blank that has no white space beside it, so a
+    text is cut there and the ids of chunks are kept in a bounded cache. What holds other
+    white space is encoded in one go.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None):
         self.encode = _encoder(ranks_path, pattern).encode_ordinary
+        self.added = {t: np.array([i], np.uint32).tobytes() for t, i in (added or {}).items()}
+        longest_first = sorted(self.added, key=lambda t: (-len(t), t))
+        self.cuts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
         self.cache: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
+        if self.cuts is None or not self.cuts.search(text):
+            return self._plain(text)
+        return b"".join(self.added[x] if x in self.added else self._plain(x) for x in self.cuts.split(text) if x)
+
+    def _plain(self, text: str) -> bytes:
         if _RUN.search(text):
             return np.array(self.encode(text), np.uint32).tobytes()
         head, *tail = text.split(" ")
@@ -105,8 +116,8 @@ class ChunkTokenizer:
         return b"".join(out)
 
 
-def _tokenise(batches, ranks_path: str, pattern: str, end_id: int, capacity: int):
-    tok = ChunkTokenizer(ranks_path, pattern)
+def _tokenise(batches, ranks_path: str, pattern: str, added: dict[str, int], end_id: int, capacity: int):
+    tok = ChunkTokenizer(ranks_path, pattern, added)
     end = np.array([end_id], np.uint32).tobytes()
     part = TaskContext.get().partitionId()
     seen: Counter = Counter()
@@ -142,6 +153,7 @@ def pack_documents(
     docs: DataFrame,
     ranks_path: str,
     pattern: str,
+    added: dict[str, int] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = 1024,
@@ -151,7 +163,8 @@ def pack_documents(
 
     One row a piece: doc_id, piece, start, length, ids (little-endian uint32 bytes),
     sequence_id, offset. A null text counts as empty, so every row yields its end id. A
-    longer document is cut into full pieces, the first of which may be shorter. Repeated
+    longer document is cut into full pieces, the first of which may be shorter. The strings of
+    ``added`` (none if not given) become their ids wherever a text holds them. Repeated
     rows and null ids are packed like any others; an empty table gives no rows; other
     columns are ignored.
     """
@@ -159,7 +172,7 @@ def pack_documents(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     cut = rows.mapInArrow(
-        partial(_tokenise, ranks_path=ranks_path, pattern=pattern, end_id=end_id, capacity=capacity),
+        partial(_tokenise, ranks_path=ranks_path, pattern=pattern, added=added or {}, end_id=end_id, capacity=capacity),
         f"doc_id {kind}, piece int, start long, length long, ids binary, nth long, part int",
     )
     table, _ = written(cut, "pieces")
@@ -198,11 +211,13 @@ def pack_documents(
     )
 
 
-def default_vocabulary() -> tuple[str, str]:
-    """Path of the ranks file of the 50k byte-level vocabulary, and its word pattern."""
+def default_vocabulary() -> tuple[str, str, dict[str, int]]:
+    """The 50k byte-level vocabulary: path of its ranks, word pattern, and added tokens of its JSON."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:

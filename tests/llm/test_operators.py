@@ -106,7 +106,6 @@ def check_packing(rows, texts, capacity=1024):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = Counter()
     for doc, text in texts:
         ids = tok.encode(text or "", add_special_tokens=False).ids + [2]
@@ -134,6 +133,16 @@ def test_packing(docs, odd, none):
     assert packing.packed_digest(none).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", end, f"{end}{end} {end}", f"{end} at both ends {end}", f"a\n \n{end}  \n b", "<|endoftext|", f"x{end}'s {end}\t", None]
+    table = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    rows = packing.packed_digest(table).collect()
+    check_packing(rows, list(enumerate(texts)))
+    hello = np.array([31373, 220, 50256, 995, 2], np.uint32)
+    assert next(r["ids_crc32"] for r in rows if r["doc_id"] == 0) == zlib.crc32(hello.tobytes())
+
+
 def test_chunked_ids_equal_whole_ids():
     tok = packing.ChunkTokenizer(*packing.default_vocabulary())
     rng = random.Random(3)
