@@ -300,12 +300,13 @@ def test_inconsistent_slots_do_not_count(spark):
 
 def brute_model(texts):
     """Interpolated modified Kneser-Ney by dictionaries."""
-    order, counts = quality.ORDER, [None, Counter(), Counter(), Counter(), Counter()]
-    code = lambda t: [quality.START] * 3 + [int(quality._SYMBOL[b]) for b in t.encode()]
+    order = quality.ORDER
+    counts, pad = [None] + [Counter() for _ in range(order)], order - 1
+    code = lambda t: [quality.START] * pad + list(t.encode())
     for t in texts:
         s = code(t)
-        for i in range(3, len(s)):
-            counts[order][tuple(s[i - 3 : i + 1])] += 1
+        for i in range(pad, len(s)):
+            counts[order][tuple(s[i - pad : i + 1])] += 1
     for k in range(order - 1, 0, -1):
         for g in counts[k + 1]:
             counts[k][g[1:]] += 1
@@ -319,7 +320,7 @@ def brute_model(texts):
 
     def p(g):
         k = len(g)
-        lower = p(g[1:]) if k > 1 else 1 / 64
+        lower = p(g[1:]) if k > 1 else 1 / 256
         t = total[k][g[:-1]]
         if not t:
             return lower
@@ -328,16 +329,18 @@ def brute_model(texts):
 
     def perplexity(t):
         s = code(t)
-        return float(np.exp(-np.mean([np.log(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))])))
+        return float(np.exp(-np.mean([np.log(p(tuple(s[i - pad : i + 1]))) for i in range(pad, len(s))])))
 
     return perplexity
 
 
-def test_quality(spark, docs, odd, none):
+@pytest.mark.parametrize("hot", [quality.HOT, 200, 0])
+def test_quality(spark, docs, odd, none, hot):
+    """Where an n-gram is looked up, in the broadcast or by the join, changes no result."""
     rows = docs.collect()
     judged = labels(spark, [(r["doc_id"], int(r["doc_id"] % 2 == 0), 0) for r in rows])
     noise = spark.createDataFrame([(1000, "%$ #@! ZZZ ||| %%% QQQ" * 5, "en", "a", 0), (1001, None, "en", "a", 0), (1002, "", None, "a", 0)], SCHEMA)
-    got = {r["doc_id"]: r for r in quality.score_quality(docs.unionByName(noise), judged).collect()}
+    got = {r["doc_id"]: r for r in quality.score_quality(docs.unionByName(noise), judged, hot=hot).collect()}
     model = brute_model([r["text"] for r in rows if r["doc_id"] % 2 == 0])
     for r in rows[:12]:
         assert got[r["doc_id"]]["perplexity"] == pytest.approx(model(r["text"]), rel=1e-4)
@@ -345,11 +348,36 @@ def test_quality(spark, docs, odd, none):
     assert not got[1000]["keep"] and got[1001]["keep"] and got[1002]["keep"] and got[1001]["perplexity"] is None
     trusted = [got[r["doc_id"]]["keep"] for r in rows if r["doc_id"] % 2 == 0]
     assert sum(trusted) >= len(trusted) - 1
+    if hot != 200:
+        return
     assert quality.score_quality(none, judged).count() == 0
     assert all(r["keep"] for r in quality.score_quality(docs, judged.where("false")).collect())
     assert quality.score_quality(odd, labels(spark, [(6, 1, 0), (6, 1, None), (4, 1, 1)])).count() == 11
 
 
+def test_quality_tables_grow_with_the_text(spark):
+    """No symbols are folded: the model holds as many n-grams as the trusted texts have."""
+    sizes = []
+    for n in (20, 80):
+        rng = random.Random(31)
+        texts = [" ".join("".join(rng.choices("aeiounrstlmé", k=9)) for _ in range(40)) for _ in range(n)]
+        table = spark.createDataFrame([(t, True) for t in texts], "text string, trusted boolean")
+        got = {r["g"]: (r["n"], r["c"]) for r in table.mapInArrow(quality._count, "g long, n long, c long").groupBy("g").agg({"n": "sum", "c": "sum"}).toDF("g", "n", "c").collect()}
+        pad = bytes([quality.START]) * (quality.ORDER - 1)
+        want = Counter(int.from_bytes((pad + t.encode())[i : i + quality.ORDER]) for t in texts for i in range(len(t.encode())))
+        assert got == {g: (c, c) for g, c in want.items()}
+        sizes.append(len(got))
+    assert sizes[1] > 2 * sizes[0]
+
+
+def test_hot_table():
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 48, 5000))
+    table = quality.HotTable(keys[::2], np.arange(len(keys[::2]), dtype=np.float32) + 1)
+    found, gone = table.find(keys)
+    assert gone.tolist() == list(range(1, len(keys), 2))
+    assert found[::2].tolist() == (np.arange(len(keys[::2])) + 1).tolist() and not found[1::2].any()
+
+
 # -- licenses
 
 
