@@ -196,17 +196,53 @@ def test_sharding(docs, odd, none):
     assert sharding.assign_shards(none).count() == 0
 
 
-def test_copies_share_a_shard(spark):
-    rows = [(i, "hot" if i % 3 == 0 else f"g{i // 4}" if i % 2 else f"t{i}", "en", "a", 1) for i in range(480)]
-    table = spark.createDataFrame(rows, SCHEMA)
-    out = sharding.assign_shards(table).join(table.select("doc_id", "text"), "doc_id").collect()
-    counts = Counter(r["shard"] for r in out)
-    assert set(counts.values()) == {30}
+def shard_table(spark, sizes):
+    """Groups of equal text of the given sizes, interleaved."""
+    texts = [f"g{g}" for g, n in enumerate(sizes) for _ in range(n)]
+    random.Random(1).shuffle(texts)
+    return spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA), texts
+
+
+def shards_of(spark, sizes, shards=16):
+    table, texts = shard_table(spark, sizes)
+    rows = sharding.assign_shards(table, shards=shards).collect()
+    counts = Counter(r["shard"] for r in rows)
+    assert len(rows) == len(texts) and max(counts.values()) - min(counts[s] for s in range(shards)) <= 1
     spread = defaultdict(set)
-    for r in out:
-        spread[r["text"]].add(r["shard"])
-    assert all(len(s) == 1 for t, s in spread.items() if t.startswith("g"))
-    assert len(spread["hot"]) <= 16
+    for r in rows:
+        spread[texts[r["doc_id"]]].add(r["shard"])
+    return spread
+
+
+@pytest.mark.parametrize("pairs", [800, 4000])
+def test_full_shards_exchange_pairs(spark, pairs):
+    """Every row is linked, so no shard has any room beside them: still no pair is cut."""
+    assert all(len(s) == 1 for s in shards_of(spark, [2] * pairs).values())
+
+
+def test_hot_text_uses_as_few_shards_as_it_can(spark):
+    spread = shards_of(spark, [1600] + [2] * 800 + [3] * 200 + [1] * 1000)
+    assert len(spread["g0"]) == -(-1600 // 300)
+    assert all(len(s) == 1 for g, s in spread.items() if g != "g0")
+
+
+@pytest.mark.parametrize("sizes", [[3, 3, 2], [4, 3, 2, 1], [5, 2, 2, 2, 1], [7, 2, 2, 1]])
+def test_sharding_cuts_no_more_groups_than_needed(spark, sizes):
+    total = sum(sizes)
+    least = len(sizes)
+    for mask in range(3 ** len(sizes)):  # each group in shard 0, in shard 1, or cut
+        where = [mask // 3**i % 3 for i in range(len(sizes))]
+        whole = [sum(n for n, w in zip(sizes, where) if w == s) for s in (0, 1)]
+        if max(whole) <= -(-total // 2) and min(whole) <= total // 2:
+            least = min(least, where.count(2))
+    assert sum(len(s) > 1 for s in shards_of(spark, sizes, 2).values()) == least
+
+
+def test_admission_credits_departures():
+    ring = [(s, 0, (s + 1) % 4, 5) for s in range(4)]
+    assert len(sharding.admit(ring, [10] * 4, [10] * 4)) == 4  # all exchange at once
+    assert sharding.admit(ring[:3], [10] * 4, [10] * 4) == []  # shard 0 sends nothing away: the chain is trimmed
+    assert len(sharding.admit(ring[:3], [10] * 4, [15, 10, 10, 10])) == 3
 
 
 # -- near-duplicates
