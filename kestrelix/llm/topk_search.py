@@ -4,8 +4,10 @@ Vectors are cut into blocks. For a block each dimension has its vectors in sorte
 order; a query walks all lists in parallel (from the top where its component is
 positive, from the bottom where negative), scores what it meets by random access,
 and stops once its k-th best score exceeds the bound that the list heads still
-allow. Query blocks meet candidate blocks in an equi-join; every task holds one
-pair of blocks, and k rows a query and block go on to the final ranking.
+allow. Query blocks are broadcast behind a check of their number, and candidates
+are searched where they are read; beyond it both sides are dealt onto a salted grid of
+tasks, so that no join key holds more than its cell. k + 1 rows a query and block go on to
+the final ranking, which leaves out the query's own row.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrelix.llm.scratch import written
+from kestrelix.llm.scratch import tidy, written
 
-BLOCK, QUERY_BLOCK = 8192, 1024
+BLOCK, QUERY_BLOCK = 4096, 1024
+BROADCAST_CELLS = 1 << 22  # numbers of 8 bytes in query blocks that every task may hold: 32 MB
+CELL_BLOCKS = 64  # candidate blocks in one cell of the grid
 
 
 def quantise(vectors: np.ndarray, scale: float = 256.0) -> np.ndarray:
@@ -57,7 +61,7 @@ def _blocks(batches, size: int, every: int | None):
 
 
 _BLOCK_SCHEMA = pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
-_FOUND = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_FOUND = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("equal", pa.bool_())])
 
 
 class Lists:
@@ -73,7 +77,7 @@ class Lists:
         self.order = np.argsort(self.x, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(self.x, self.order.T, axis=0)
 
-    def search(self, q: np.ndarray, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the k best of the block, best first.
 
         ``floor``: a score that k other vectors already reach; lower ones may be left out.
@@ -98,8 +102,7 @@ class Lists:
             new = np.flatnonzero(mask & ~seen)
             seen |= mask
             got = self.score(new, q)
-            keep = self.ids[new] != own
-            at, scores = np.concatenate([at, new[keep]]), np.concatenate([scores, got[keep]])
+            at, scores = np.concatenate([at, new]), np.concatenate([scores, got])
             if len(at) > k:
                 best = np.lexsort((at, -scores))[:k] if len(at) < 64 else self._best(at, scores, k)
                 at, scores = at[best], scores[best]
@@ -135,40 +138,62 @@ def _search(batches, k: int):
             if r["block"] not in floors:
                 floors = {r["block"]: np.full(len(qs), np.iinfo(np.int64).min)}
             floor = floors[r["block"]]
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             for j in range(len(qs)):
-                at, scores = lists.search(qx[j], int(qs[j]), k, int(floor[j]))
+                at, scores = lists.search(qx[j], k, int(floor[j]))
                 if len(at) == k:
                     floor[j] = max(floor[j], int(scores[-1]))
                 out[0].append(np.full(len(at), qs[j]))
                 out[1].append(np.full(len(at), r["block"] * QUERY_BLOCK + j))
                 out[2].append(lists.ids[at])
                 out[3].append(scores)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], schema=_FOUND)
+                out[4].append((lists.ids[at] == qs[j]) & (lists.x[at] == qx[j]).all(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(out, _FOUND)], schema=_FOUND)
 
 
+@tidy
 def topk_search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50) -> DataFrame:
     """The k highest integer inner products of each query: query_id, rank, vec_id, score.
 
     Components become floor(256 * x). Queries are the rows whose id ``every`` divides;
-    candidates are all rows with another id. Ties go to the smaller id. Rows with a null
+    candidates are all rows but the query's own. Ties go to the smaller id. Rows with a null
     id, a null vector, or a null or non-finite component take no part; vectors meet only
-    vectors of their own length. Rows that repeat an id are separate rows. An empty table
-    gives no rows.
+    vectors of their own length. Rows that repeat an id are separate rows: each is a query of
+    its own and a candidate of the others. An empty table gives no rows; other columns are
+    ignored.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     block = "dim int, n int, ids binary, vectors binary"
     cand = rows.mapInArrow(partial(_blocks, size=BLOCK, every=None), block)
     asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(partial(_blocks, size=QUERY_BLOCK, every=every), block)
     asked, _ = written(asked.select("dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.monotonically_increasing_id().alias("block")), "queries")
-    pairs = cand.withColumn("cand", F.monotonically_increasing_id()).join(asked, "dim").repartition("block", "cand")
+    sizes = asked.agg(F.sum(F.col("dim").cast("long") * F.col("q_n")).alias("cells")).first()
+    groups = -(-(sizes["cells"] or 0) // BROADCAST_CELLS)
+    pairs = cand.join(F.broadcast(asked), "dim") if groups <= 1 else _grid(cand, asked, groups)
     found = pairs.select("dim", "n", "ids", "vectors", "q_n", "q_ids", "q_vectors", "block").mapInArrow(
-        partial(_search, k=k), "query_id long, query_row long, vec_id long, score long"
+        partial(_search, k=k + 1), "query_id long, query_row long, vec_id long, score long, equal boolean"
     )
+    # one of the rows with the query's id and vector is the query itself
+    own = Window.partitionBy("query_id", "query_row", "equal").orderBy("vec_id")
+    found = found.withColumn("nth", F.row_number().over(own)).where("not equal or nth > 1")
     w = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _grid(cand: DataFrame, asked: DataFrame, groups: int) -> DataFrame:
+    """Every candidate block with every query block of its length, dealt onto a grid of tasks.
+
+    Blocks of queries fall in ``groups`` groups, those of candidates get a salt; a cell of the
+    grid joins one group with the blocks of one salt.
+    """
+    cand, _ = written(cand.withColumn("u_", F.monotonically_increasing_id()), "candidates")
+    salts = max(1, -(-cand.count() // CELL_BLOCKS))
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = cand.withColumn("salt", F.pmod(F.xxhash64("u_"), F.lit(salts))).withColumn("group", to(groups))
+    right = asked.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))).withColumn("salt", to(salts))
+    return left.join(right, ["dim", "group", "salt"])
+
+
 def op2_topk_search(spark, sf_dir: str) -> DataFrame:
     return topk_search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
