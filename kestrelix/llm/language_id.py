@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from kestrelix.llm.textops import pieces, text_buffer
 
 FEATURES = 4096
+DRAW = 1 << 48
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile("[A-Za-z]")  # the quick case; numerals and signs are no letters
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -63,6 +64,11 @@ def unit_vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v
 
 
+def has_letter(text: str | None) -> bool:
+    """Does the text hold a character of a Unicode letter category?"""
+    return text is not None and (_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def _slices(batch: pa.RecordBatch, column: str):
     for part in pieces(batch, column, 2 << 20):
         for at in range(0, part.num_rows, 512):
@@ -113,7 +119,7 @@ def _predict(batches, names, matrix, reach, idf, text):
     for batch in batches:
         for part in _slices(batch, text):
             col = part.column(text)
-            lettered = np.array([x is not None and _LETTER.search(x) is not None for x in col.to_pylist()], bool)
+            lettered = np.array([has_letter(x) for x in col.to_pylist()], bool)
             if len(names):
                 cos = unit_vectors(term_counts(col), idf) @ matrix.T
                 best = cos.argmax(axis=1)
@@ -142,9 +148,13 @@ def identify_languages(
 ) -> DataFrame:
     """One row a document: id, held_out, lang_pred, score, rejected.
 
+    Centroids are fitted on distinct texts: all of a language up to 2 * ``sample`` + 200, else
+    about 1.5 * ``sample`` + 100 of them drawn by a hash of the text, of which the first
+    ``sample`` count; a language with any training text has a centroid.
+
     Training rows have a language and a text, and ``crc32(id as text) mod 4`` other
     than 2; ``held_out`` marks the remainder 2 (a null id is not held out). A null text
-    or one without a letter gives ``und``, score 0, rejected. With no training row at
+    or one without a letter (a character of a Unicode letter category) gives ``und``, score 0, rejected. With no training row at
     all every text is ``und``. Equal cosines take the first language in sorted order.
     Repeated rows are answered once each; other columns are ignored.
     """
@@ -163,9 +173,12 @@ def identify_languages(
 
     names, matrix, reach = [], np.zeros((0, FEATURES), np.float32), np.zeros(0)
     if sizes:
-        draw = F.xxhash64(F.col("doc_id").cast("string"), "text")
-        share = F.create_map(*[F.lit(x) for lang, m in sorted(sizes.items()) for x in (lang, min(1.0, (1.5 * sample + 100) / m))])
-        picked = train.select("lang", "text", draw.alias("draw")).where(F.pmod("draw", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+        # drawn by a hash of the text among distinct texts, so that copies count once
+        keyed = train.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(DRAW)).alias("draw"))
+        distinct = {r["lang"]: r["n"] for r in keyed.select("lang", "draw").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        share = [(lang, DRAW if m <= 2 * sample + 200 else int(DRAW * (1.5 * sample + 100) / m)) for lang, m in sorted(distinct.items())]
+        share = F.create_map(*[F.lit(x) for lang, m in share for x in (lang, m)])
+        picked = keyed.where(F.col("draw") < share[F.col("lang")]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
         fit = picked.groupBy("lang").applyInPandas(
             lambda pdf: _fit(pdf, idf, clusters, sample, slack), "lang string, cluster int, vector binary, reach double"
         )

@@ -176,6 +176,26 @@ def test_topk(spark):
     assert topk_search(df.where("false")).count() == 0
 
 
+def test_topk_repeated_ids(spark, monkeypatch):
+    """Rows of one id are queries and candidates of their own, also when their vectors are equal."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = []
+    for i, (q, x) in enumerate(rows):
+        if q % 50 == 0:
+            best = sorted((-round(65536 * (x[0] * y[0] + x[1] * y[1])), v) for j, (v, y) in enumerate(rows) if j != i)
+            want += [(q, r, v, -s) for r, (s, v) in enumerate(best, 1)]
+    from kestrelix.llm import topk_search as module
+
+    for cells in (1 << 22, 1):  # by broadcast, and on the grid
+        monkeypatch.setattr(module, "BROADCAST_CELLS", cells)
+        monkeypatch.setattr(module, "QUERY_BLOCK", 1)
+        monkeypatch.setattr(module, "BLOCK", 2)
+        monkeypatch.setattr(module, "CELL_BLOCKS", 1)
+        got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search(df).collect()]
+        assert sorted(got) == sorted(want)
+
+
 # -- sharding
 
 
@@ -541,6 +561,59 @@ def test_languages(spark, odd, none):
     assert identify_languages(odd).count() == 11 and identify_languages(none).count() == 0
 
 
+def test_languages_with_repeated_rows(spark):
+    rng = random.Random(12)
+    one, few = "bo ka ri bo ri ka", [" ".join(rng.choice(["xen", "qui", "zot"]) for _ in range(8)) for _ in range(40)]
+    rows = [(i, one, "aa", "a", 0) for i in range(3000)] + [(5000 + i, t, "bb", "a", 0) for i, t in enumerate(few)]
+    got = {r["doc_id"]: r["lang_pred"] for r in identify_languages(spark.createDataFrame(rows, SCHEMA), sample=10).collect()}
+    assert {got[i] for i in range(3000)} == {"aa"} and {got[5000 + i] for i in range(40)} == {"bb"}
+
+
+def test_texts_without_letters(spark):
+    texts = ["Ⅷ Ⅸ 12", "½ ² ①", "_ 7", "ª", "日", "a1"]
+    rows = [(i, t, None, "a", 0) for i, t in enumerate(texts)] + [(100 + i, "some words here", "en", "a", 0) for i in range(8)]
+    got = {r["doc_id"]: r for r in identify_languages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i]["lang_pred"] for i in range(6)] == ["und"] * 3 + ["en"] * 3
+    assert all(got[i]["score"] == 0 for i in range(3))
+
+
+def brute_centroids(train, texts):
+    """Nearest mean of unit TF-IDF vectors, by dictionaries of hashed byte n-grams."""
+
+    def counts(t):
+        b = bytes(c + 32 if 65 <= c < 91 else c if 97 <= c < 123 or c >= 128 else 32 for c in t.encode())
+        return Counter(int.from_bytes(b[i : i + n]) * 2654435761 % 2**32 >> 20 for n in (2, 3) for i in range(len(b) - n + 1))
+
+    df = Counter(f for t, _ in train for f in counts(t))
+    idf = lambda f: np.log((1 + len(train)) / (1 + df[f])) + 1
+
+    def unit(v):
+        n = sum(x * x for x in v.values()) ** 0.5
+        return {f: x / n for f, x in v.items()}
+
+    vector = lambda t: unit({f: np.log1p(c) * idf(f) for f, c in counts(t).items()})
+    means = {}
+    for lang in sorted({x for _, x in train}):
+        total = Counter()
+        for t in {t for t, x in train if x == lang}:
+            total.update(vector(t))
+        means[lang] = unit(total)
+    out = []
+    for t in texts:
+        v = vector(t)
+        out.append(max(((sum(x * m.get(f, 0) for f, x in v.items()), lang) for lang, m in means.items()), key=lambda x: x[0])[::-1])
+    return out
+
+
+def test_languages_against_dictionaries(spark, docs):
+    rng = random.Random(21)
+    rows = [(i, sentence(rng, 12) + (" über" if i % 3 else " the end"), ("de", "en")[i % 3 == 0], "a", 0) for i in range(90)]
+    got = {r["doc_id"]: r for r in identify_languages(spark.createDataFrame(rows, SCHEMA), clusters=1).collect()}
+    train = [(t, lang) for i, t, lang, _, _ in rows if not got[i]["held_out"]]
+    for (i, *_), (lang, cos) in zip(rows, brute_centroids(train, [r[1] for r in rows])):
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(cos, abs=1e-4)
+
+
 # -- pipeline
 
 
