@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrelix.functions.text import tokens
+from kestrelix.sources.store import staged
 
 CANDIDATES = 60
 K1, B = 1.5, 0.75
 K0 = 60
 SEED = 23
-QUERY_BLOCK = 2048
+QUERY_CELLS = 1 << 22  # numbers of 8 bytes in the queries of one scan: 32 MB
+BROADCAST_ROWS = 500_000  # query terms of about 40 bytes
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,21 +45,40 @@ def top(df: DataFrame, k: int, by: list[Column], group: str = "query_id") -> Dat
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def matched(terms: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, term, tf, dl): the postings of the given distinct terms, and one row with an empty
+    term for every document, in one pass over the texts. dl counts all words of a document.
+
+    Only these rows leave the pass; the statistics of the whole corpus follow from them.
+    """
+    words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    words = words.select("doc_id", F.size("w").alias("size"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
+    wanted = terms.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string"))
+    wanted = F.broadcast(wanted) if terms.count() <= BROADCAST_ROWS else wanted
+    found = words.join(wanted, "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.sum(F.when(F.col("term") == "", F.col("size"))).alias("size"))
+    return found.select("doc_id", "term", "tf", F.sum("size").over(Window.partitionBy("doc_id")).alias("dl"))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """(query_id, doc_id, score, rank): repeated query terms count again, ties to smaller ids.
 
-    The query terms select postings in an equi-join; only matching postings are scored, and
-    scores are rounded before ranking so that the order of summation cannot swap ties.
+    The texts are read once: the postings that hold a query term are written with the lengths
+    of all documents, and counts, idf and scores are aggregations of that table. Scores are
+    rounded before ranking so that the order of summation cannot swap ties.
     """
-    post = postings(docs)
-    stats = corpus_stats(docs, post)
-    length = post.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    avgdl = F.greatest(stats.select("avgdl").scalar(), F.lit(1e-9))
-    hit = post.join(asked, "term").join(term_stats(post, stats), "term").join(length, "doc_id")
+    asked = staged(asked, "asked")
+    rows = staged(matched(asked.select("term").distinct(), docs), "postings")
+    total = rows.where("term = ''").agg(F.sum("tf").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+    n = total["n"] or 0
+    avgdl = max(total["t"] / max(1, n), 1e-9)
+    post = rows.where("term <> ''")
+    idf = post.groupBy("term").agg(F.ln(1 + (n - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("idf"))
+    weighted = staged(asked.join(idf, "term"), "weights")
+    weighted = F.broadcast(weighted) if weighted.count() <= BROADCAST_ROWS else weighted
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl)
     score = F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm)
-    scored = hit.groupBy("query_id", "doc_id").agg(F.round(score, 6).alias("score")).where("score > 0")
+    scored = post.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(score, 6).alias("score")).where("score > 0")
     return top(scored, k, [F.desc("score"), F.asc("doc_id")])
 
 
@@ -68,21 +89,22 @@ def _best_rows(batches, ids, matrix, k):
         if not len(keys):
             continue
         rows = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-        scores = np.round(matrix @ rows.T, 6)
         order = np.argsort(keys, kind="stable")
-        keys, scores = keys[order], scores[:, order]
-        pick = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids, pick.shape[1])), pa.array(keys[pick].reshape(-1)), pa.array(np.take_along_axis(scores, pick, 1).reshape(-1))],
-            names=["query_id", "doc_id", "score"],
-        )
+        keys, rows = keys[order], rows[order]
+        for at in range(0, len(ids), 512):
+            scores = np.round(matrix[at : at + 512] @ rows.T, 6)
+            pick = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids[at : at + 512], pick.shape[1])), pa.array(keys[pick].reshape(-1)), pa.array(np.take_along_axis(scores, pick, 1).reshape(-1))],
+                names=["query_id", "doc_id", "score"],
+            )
 
 
 def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank) by inner product of (query_id, v) with (doc_id, v).
 
-    Queries travel in blocks of QUERY_BLOCK rows; the vectors are scanned in place without a
-    shuffle and only k rows a query and batch go on to the final ranking.
+    Queries travel to the vectors, which are scanned in place without a shuffle, once for
+    QUERY_CELLS numbers of queries; only k rows a query and batch go on to the final ranking.
     """
     asked = queries.select(F.col("query_id").cast("long"), "v").where("v is not null").toLocalIterator()
     data = vectors.select(F.col("doc_id").cast("long"), "v").where("v is not null")
@@ -94,7 +116,7 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     for r in asked:
         ids.append(r["query_id"]), rows.append(r["v"])
-        if len(ids) == QUERY_BLOCK:
+        if len(ids) * max(1, len(rows[0])) >= QUERY_CELLS:
             out, ids, rows = flush(out), [], []
     if ids or out is None:
         if not ids:
@@ -125,6 +147,22 @@ def signature(v: Column, hyperplanes: np.ndarray) -> Column:
     return total.cast("bigint")
 
 
+def signed(rows: DataFrame, hyperplanes: np.ndarray) -> DataFrame:
+    """Adds ``sig`` to rows with a vector ``v``: the bits of :func:`signature`, one matrix product a batch."""
+    weights = (1 << np.arange(hyperplanes.shape[1])).astype(np.int64)
+    at, names = rows.columns.index("v"), [*rows.columns, "sig"]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = np.stack(batch.column(at).to_numpy(zero_copy_only=False)).astype(np.float64)
+                sig = (v @ hyperplanes.astype(np.float64) >= 0) @ weights
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig.astype(np.int64))], names=names)
+
+    shape = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    return rows.where("v is not null").mapInArrow(run, f"{shape}, sig bigint")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -134,19 +172,20 @@ def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, hyperplanes: np.nda
 
     A query takes the vectors whose signature differs in at most one bit, if these are
     fewer than k in at most two, and else all of them (``fallback``). Probing enumerates
-    the signatures within two bits, so candidates come from an equi-join.
+    the signatures within two bits, so candidates come from an equi-join. Vectors that bring
+    their ``sig`` (a stored index) are not signed again.
     """
     n = hyperplanes.shape[1]
     masks = [(0, 0)] + [(1 << i, 1) for i in range(n)] + [((1 << i) | (1 << j), 2) for i in range(n) for j in range(i)]
-    asked = queries.withColumn("sig", signature(F.col("v"), hyperplanes))
+    asked = signed(queries.select("query_id", "v"), hyperplanes)
     probe = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(r).alias("r")) for m, r in masks])
     probes = asked.select("query_id", "v", F.explode(probe).alias("x"), "sig").select("query_id", F.col("v").alias("q"), F.col("sig").bitwiseXOR(F.col("x.m")).alias("sig"), "x.r")
-    signed = vectors.select("doc_id", "v", signature(F.col("v"), hyperplanes).alias("sig"))
-    sizes = signed.groupBy("sig").agg(F.count("*").alias("c"))
+    filed = vectors if "sig" in vectors.columns else staged(signed(vectors.select("doc_id", "v"), hyperplanes), "signatures")
+    sizes = filed.groupBy("sig").agg(F.count("*").alias("c"))
     near = probes.join(sizes, "sig").groupBy("query_id").agg(F.sum(F.when(F.col("r") <= 1, F.col("c")).otherwise(0)).alias("one"), F.sum("c").alias("two"))
     radius = F.when(F.coalesce("one", F.lit(0)) >= k, 1).when(F.coalesce("two", F.lit(0)) >= k, 2)
     chosen = asked.select("query_id").join(near, "query_id", "left").select("query_id", radius.alias("radius"))
-    pool = probes.join(chosen.where("radius is not null"), "query_id").where(F.col("r") <= F.col("radius")).join(signed, "sig")
+    pool = probes.join(chosen.where("radius is not null"), "query_id").where(F.col("r") <= F.col("radius")).join(filed, "sig")
     pool = pool.select("query_id", "doc_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
     hashed = top(pool, k, [F.desc("score"), F.asc("doc_id")]).withColumn("fallback", F.lit(False))
     rest = asked.join(chosen.where("radius is null"), "query_id", "left_semi").select("query_id", "v")

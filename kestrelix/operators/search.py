@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrelix.functions.text import attribute_match, category_hit, constraints, correct, price_allowed, tokens
-from kestrelix.operators.retrieval import CANDIDATES, bm25, exact_topk, fuse, lsh_topk, minmax, top
+from kestrelix.operators.retrieval import CANDIDATES, bm25, dot, exact_topk, fuse, lsh_topk, minmax, top
+from kestrelix.sources.store import staged
 
+QUERIES = 4096  # vectors of a query batch that every task may hold
 MODES = ("bm25", "dense", "hybrid", "reranked")
 # fixed values: weights of the ranking formulas
 RERANK = {"bm25": 0.28, "dense": 0.28, "fusion": 0.18, "attribute": 0.20, "category": 0.08, "confidence": 0.02}
@@ -19,9 +21,12 @@ MULTIMODAL = {"visual": 0.50, "text": 0.20, "crossmodal": 0.20, "attribute": 0.1
 PRODUCT = ["price", "colour", "brand", "material", "gender", "category", "product_type"]
 
 
-def check_request(mode: str, k: int, most: int = 50) -> None:
+def check_request(mode: str, k: int, most: int = 50, query: str | None = None) -> None:
+    """What a request may ask for: a known mode, 1 to ``most`` results, 1 to 300 characters."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    if query is not None and not 1 <= len(query) <= 300:
+        raise ValueError("query must have 1 to 300 characters")
     if not 1 <= k <= most:
         raise ValueError(f"k must be between 1 and {most}")
 
@@ -56,7 +61,13 @@ def rankings(queries: DataFrame, products: DataFrame, vectors: DataFrame, query_
         dense = exact_topk(query_vectors, vectors, CANDIDATES)
     else:
         dense = lsh_topk(query_vectors, vectors, CANDIDATES, hyperplanes)
-    return lexical, dense, fuse([lexical, dense])
+    lexical, dense = staged(lexical, "lexical"), staged(dense, "dense")
+    return lexical, dense, staged(fuse([lexical, dense]), "fused")
+
+
+def valid_queries(queries: DataFrame) -> DataFrame:
+    """The rows of a batch whose query has 1 to 300 characters; the others are not searched."""
+    return queries.where(F.length("query").between(1, 300))
 
 
 def candidates(asked: DataFrame, lexical: DataFrame, dense: DataFrame, fused: DataFrame, products: DataFrame) -> DataFrame:
@@ -114,7 +125,7 @@ def search_lab(queries, products, vectors, query_vectors, k: int = 8, normalize:
 
 
 def _search(queries, products, vectors, query_vectors, modes, k, normalize, hyperplanes):
-    asked = understood(queries, products, normalize)
+    asked = staged(understood(queries, products, normalize), "understood")
     lexical, dense, fused = rankings(asked, products, vectors, query_vectors, hyperplanes)
     out = None
     for mode in modes:
@@ -149,20 +160,25 @@ def fusion_weights(has_text: bool, has_crossmodal: bool, weights: dict | None =
 def search_multimodal(queries, products, vectors, image_vectors, text_vectors, k: int = 12, normalize: bool = True, crossmodal=None, weights=None) -> DataFrame:
     """Image and text together for (query_id, query); ``crossmodal``: (query_id, doc_id, score).
 
-    Every product is scored against the query image. Without a stated category only those of
+    Every product that the filters leave is scored against the query image where it is read,
+    and each task passes on its best k rows a query. Without a stated category only those of
     the category of the nearest image compete. Text scores are those of a reranked search
     with no cut but its candidate cap, rounded, relative to the best of the query.
     """
     asked = understood(queries.withColumn("query", F.when(F.col("query") == "", "similar").otherwise(F.col("query"))), products, normalize)
     texted = queries.where(F.trim("query") != "")
-    visual = image_vectors.select("query_id", F.col("v").alias("qv"))
-    pairs = _all_scores(visual, vectors)
-    rows = pairs.join(products.select("doc_id", "title", *PRODUCT), "doc_id").join(asked, "query_id")
-    anchor = rows.groupBy("query_id").agg(F.min_by("category", F.struct(-F.col("visual_raw"), F.col("doc_id"))).alias("anchor"))
-    rows = rows.join(anchor, "query_id").where(F.col("c_category").isNotNull() | (F.col("category") == F.col("anchor"))).where(price_allowed(_c(), F.col("price")))
+    asked = staged(asked, "understood")
+    known = products.select("doc_id", "title", *PRODUCT)
+    nearest = exact_topk(image_vectors.select("query_id", "v"), vectors.join(known.select("doc_id"), "doc_id", "left_semi"), 1)
+    anchor = nearest.select("query_id", "doc_id").join(known.select("doc_id", F.col("category").alias("anchor")), "doc_id").select("query_id", "anchor")
+    wanted = image_vectors.select("query_id", F.col("v").alias("qv")).join(asked, "query_id").join(anchor, "query_id")
+    wanted = wanted.join(texted.select("query_id", F.lit(True).alias("has_text")), "query_id", "left")
+    allowed = (F.col("c_category").isNotNull() | (F.col("category") == F.col("anchor"))) & price_allowed(_c(), F.col("price"))
+    rows = scored(staged(wanted, "wanted"), vectors.join(known, "doc_id"), allowed)
     text = _search(texted, products, vectors, text_vectors, ["reranked"], CANDIDATES, normalize, None).select("query_id", "doc_id", F.col("score").alias("text_raw"))
     best = text.groupBy("query_id").agg(F.max("text_raw").alias("best"))
-    rows = rows.join(text, ["query_id", "doc_id"], "left").join(best, "query_id", "left")
+    text = F.broadcast(staged(text.join(best, "query_id"), "texts"))  # CANDIDATES rows a query
+    rows = rows.join(text, ["query_id", "doc_id"], "left")
     rows = rows.withColumn("text_score", F.coalesce("text_raw", F.lit(0.0)) / F.greatest(F.coalesce("best", F.lit(1.0)), F.lit(1e-9)))
     if crossmodal is not None:
         rows = rows.join(crossmodal.select("query_id", "doc_id", F.col("score").alias("cross")), ["query_id", "doc_id"], "left")
@@ -170,7 +186,7 @@ def search_multimodal(queries, products, vectors, image_vectors, text_vectors, k
     else:
         cross = F.lit(0.0)
     share, labels = attribute_match(_c(), _p())
-    rows = rows.join(texted.select("query_id", F.lit(True).alias("has_text")), "query_id", "left").withColumn("attribute", share).withColumn("matched", labels)
+    rows = rows.withColumn("attribute", share).withColumn("matched", labels)
     with_text, without = fusion_weights(True, crossmodal is not None, weights), fusion_weights(False, False, weights)
     w = {n: F.when(F.col("has_text"), with_text[n]).otherwise(without[n]) for n in with_text}
     seen = F.greatest(F.col("visual_raw"), F.lit(0.0))
@@ -181,10 +197,15 @@ def search_multimodal(queries, products, vectors, image_vectors, text_vectors, k
     )
 
 
-def _all_scores(visual: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Scores of every vector for a query batch: the exact scan without a cut."""
-    found = exact_topk(visual.select("query_id", F.col("qv").alias("v")), vectors, vectors.count())
-    return found.select("query_id", "doc_id", F.col("score").alias("visual_raw"))
+def scored(wanted: DataFrame, items: DataFrame, allowed) -> DataFrame:
+    """Every allowed item (doc_id, v, ...) with every query (query_id, qv, ...): adds ``visual_raw``.
+
+    The filter comes before the product. A batch of at most QUERIES queries travels to the
+    items, which are never shuffled; a larger one is dealt over the tasks that read them.
+    """
+    wanted = F.broadcast(wanted) if wanted.count() <= QUERIES else wanted
+    pairs = items.join(wanted, allowed).where("v is not null and qv is not null")
+    return pairs.withColumn("visual_raw", F.round(dot(F.col("qv"), F.col("v")), 6)).drop("v", "qv")
 
 
 def trace(lexical: DataFrame, dense: DataFrame, fused: DataFrame) -> DataFrame:

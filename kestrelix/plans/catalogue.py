@@ -7,6 +7,8 @@ the product catalogue and ``events`` for latency samples.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from kestrelix.functions import text as T
 from kestrelix.operators import evaluation as E
 from kestrelix.operators import lsi, retrieval, search
 from kestrelix.plans.oracles import ORACLES, PRODUCT_QUERIES
-from kestrelix.sources import catalog
+from kestrelix.operators import reporting
+from kestrelix.sources import catalog, index
+from kestrelix.sources.store import shared_dir, staged
 
 DIM = 64
 
@@ -89,10 +93,13 @@ def tfidf_weights(spark, sf_dir):
 
 def lsi_neighbours(spark, sf_dir):
     weights = lsi.tfidf(_docs(spark, sf_dir))
-    model = lsi.LatentModel(terms=400).fit(weights)
-    asked = lsi.tfidf(_asked(spark, sf_dir).select(F.col("query_id").alias("doc_id"), F.col("query").alias("text")))
-    queries = model.encode(asked).select(F.col("doc_id").alias("query_id"), "v")
-    return retrieval.exact_topk(queries, model.encode(weights), 10)
+    """The ten nearest documents of each query in the latent space of all terms."""
+    docs = _docs(spark, sf_dir)
+    weights = lsi.tfidf(docs)
+    model = lsi.LatentModel().fit(weights)
+    asked = _asked(spark, sf_dir).select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
+    queries = model.encode(lsi.tfidf(asked), asked).select(F.col("doc_id").alias("query_id"), "v")
+    return retrieval.exact_topk(queries, model.encode(weights, docs), 10)
 
 
 def exact_ip_topk(spark, sf_dir):
@@ -126,17 +133,19 @@ def lsh_sweep(spark, sf_dir):
 
 
 def synthetic_ann_scale(spark, sf_dir):
-    v = lsi.synthetic_vectors(spark, 10_000)
-    q = v.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), "v")
-    found = E.overlap_recall(retrieval.lsh_topk(q, v, 10, retrieval.planes(384)), retrieval.exact_topk(q, v, 10), 10)
-    return found.agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 4).alias("recall"))
+    """Hashed against exact search over generated vectors, one row a size; reads no table."""
+    out = None
+    for n in (10_000, 50_000):
+        row = reporting.ann_scale(spark, n).select("vectors", "queries", "recall", "vector_bytes")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def _lists(spark, sf_dir):
     q = _asked(spark, sf_dir)
-    lexical = retrieval.bm25(q, _docs(spark, sf_dir))
-    dense = retrieval.exact_topk(_asked_vectors(spark, sf_dir), _vectors(spark, sf_dir), retrieval.CANDIDATES)
-    return lexical, dense, retrieval.fuse([lexical, dense])
+    lexical = staged(retrieval.bm25(q, _docs(spark, sf_dir)), "lexical")
+    dense = staged(retrieval.exact_topk(_asked_vectors(spark, sf_dir), _vectors(spark, sf_dir), retrieval.CANDIDATES), "dense")
+    return lexical, dense, staged(retrieval.fuse([lexical, dense]), "fused")
 
 
 def rrf_fusion(spark, sf_dir):
@@ -196,8 +205,9 @@ def price_filter_after_topk(spark, sf_dir):
 def exact_filter_before_cut(spark, sf_dir):
     """The exhaustive baseline filters all products by price before it cuts."""
     asked = search.understood(_product_queries(spark), None, normalize=False)
-    found = search._all_scores(_product_query_vectors(spark, sf_dir).withColumnRenamed("v", "qv"), _vectors(spark, sf_dir))
-    rows = found.join(_products(spark, sf_dir).select("doc_id", "price"), "doc_id").join(asked, "query_id").where(T.price_allowed(search._c(), F.col("price")))
+    wanted = _product_query_vectors(spark, sf_dir).withColumnRenamed("v", "qv").join(asked, "query_id")
+    items = _vectors(spark, sf_dir).join(_products(spark, sf_dir).select("doc_id", "price"), "doc_id")
+    rows = search.scored(wanted, items, T.price_allowed(search._c(), F.col("price")))
     return retrieval.top(rows, 12, [F.desc("visual_raw"), F.asc("doc_id")]).select("query_id", "doc_id", F.col("visual_raw").alias("score"), "rank")
 
 
@@ -241,24 +251,37 @@ def _judged(spark, sf_dir):
     return asked.join(e.withColumnRenamed("vec_id", "doc_id"), "label").where("query_id <> doc_id").select("query_id", "doc_id", (1 + F.col("doc_id") % 3).cast("int").alias("grade"))
 
 
+def _doc_products(spark, sf_dir):
+    """Documents in the role of products: language, source and length are their attributes."""
+    none = F.lit(None).cast("string")
+    return _read(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.col("source").alias("title"), F.col("lang").alias("category"), F.col("source").alias("product_type"), none.alias("colour"),
+        F.col("source").alias("brand"), none.alias("material"), none.alias("gender"), F.col("n_chars").alias("price"),
+    )
+
+
 def _methods(spark, sf_dir):
-    """Five ranked lists of vectors and documents for each query, cut to 10."""
+    """Five ranked lists of vectors and documents for each query, cut to 10, the query's own id left out.
+
+    All come from the shared lexical and dense lists; ``reranked`` is the search engine's own reranker.
+    """
     q, v = _asked_vectors(spark, sf_dir), _vectors(spark, sf_dir)
-    exact = search.search_image(q, v, 10, exclude_self=True)
+    lexical, dense, fused = _lists(spark, sf_dir)
     hashed = search.search_image(q, v, 10, exclude_self=True, hyperplanes=retrieval.planes(DIM))
-    lexical = retrieval.bm25(_asked(spark, sf_dir), _docs(spark, sf_dir)).where("query_id <> doc_id")
-    lexical = retrieval.top(lexical.drop("rank"), 10, [F.desc("score"), F.asc("doc_id")])
-    hybrid = retrieval.fuse([lexical, exact], 10)
-    third = retrieval.top(retrieval.fuse([exact, exact, lexical], 20).drop("rank"), 10, [F.desc("score"), F.asc("doc_id")])
+    asked = search.understood(_asked(spark, sf_dir), None, normalize=False)
+    rows = search.candidates(asked, lexical, dense, fused, _doc_products(spark, sf_dir))
+    own = lambda listed: retrieval.top(listed.where("query_id <> doc_id").withColumnRenamed("rank", "was"), 10, [F.asc("was")])
     out = None
-    for name, listed in (("bm25", lexical), ("dense", hashed), ("dense_exact", exact), ("hybrid", hybrid), ("reranked", third)):
-        rows = listed.select(F.lit(name).alias("method"), "query_id", "doc_id", "rank")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    for name, listed in (
+        ("bm25", own(lexical)), ("dense", hashed), ("dense_exact", own(dense)), ("hybrid", own(fused)), ("reranked", own(search.ranked(rows, "reranked", 11))),
+    ):
+        part = listed.select(F.lit(name).alias("method"), "query_id", "doc_id", "rank")
+        out = part if out is None else out.unionByName(part)
+    return staged(out, "methods")
 
 
 def _query_metrics(spark, sf_dir):
-    return E.query_metrics(_methods(spark, sf_dir), _judged(spark, sf_dir), 10)
+    return staged(E.query_metrics(_methods(spark, sf_dir), _judged(spark, sf_dir), 10), "metrics")
 
 
 def retrieval_metrics(spark, sf_dir):
@@ -314,9 +337,44 @@ def multimodal_fusion(spark, sf_dir):
 
 
 def search_log(spark, sf_dir):
-    """The log of a batch of searches: one row a search, with its number of results."""
-    e = _read(spark, sf_dir, "events")
-    return e.groupBy("user_id", "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("total_ms"))
+    """A batch of searches is logged and the log read back: what was asked and what was found."""
+    results = staged(_catalogue_search(spark, sf_dir, ["hybrid"], 12), "results")
+    asked = _product_queries(spark)
+    path = f"{shared_dir(spark)}/search-log-{uuid.uuid4().hex}"
+    events = results.select("query_id", F.col("doc_id").cast("string").alias("product_id"), "rank", "score")
+    if not catalog.append_log(catalog.log_rows(asked, search.understood(asked, None, normalize=False), "hybrid"), events, path):
+        raise RuntimeError("the log could not be written")
+    found = spark.read.parquet(f"{path}/search_events").groupBy("query_id").agg(F.count("*").alias("results"), F.max("score").alias("best"))
+    rows = spark.read.parquet(f"{path}/search_queries").where("created_at is not null").join(found, "query_id", "left")
+    return rows.select("query_id", "original_query", "normalized_query", "mode", F.coalesce("results", F.lit(0)).alias("results"), "best")
+
+
+def stored_index_topk(spark, sf_dir):
+    """The hashed search over an index that was stored, refused for another catalogue, built and opened again."""
+    v = _vectors(spark, sf_dir)
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.VectorIndex(spark, path).open(v, "an earlier catalogue")
+    if index.VectorIndex(spark, path).open(v, "this catalogue").loaded or not index.VectorIndex(spark, path).open(v, "this catalogue").loaded:
+        raise RuntimeError("the stored index does not follow its manifest")
+    found = index.VectorIndex(spark, path).open(v, "this catalogue").search(_asked_vectors(spark, sf_dir), 10)
+    return found.select("query_id", "doc_id", "score", "rank", "fallback")
+
+
+def _image_metrics(spark, sf_dir):
+    q, v = _asked_vectors(spark, sf_dir), _vectors(spark, sf_dir)
+    found = retrieval.exact_topk(q, v, 6)
+    modality = q.select("query_id", F.lit("image").alias("modality"), F.col("query_id").alias("query_image_id"))
+    return reporting.modality_metrics(found, _judged(spark, sf_dir), modality)
+
+
+def image_metrics(spark, sf_dir):
+    """Precision, recall, MRR and nDCG of image search at 5, the query image left out."""
+    return _image_metrics(spark, sf_dir).select("modality", "query_id", *[F.round(m, 6).alias(m) for m in E.METRICS])
+
+
+def weakest_images(spark, sf_dir):
+    """The five image queries with the lowest recall."""
+    return reporting.weakest(staged(_image_metrics(spark, sf_dir), "image-metrics")).select("place", "query_id", F.round("recall", 6).alias("recall"))
 
 
 def idempotent_seed(spark, sf_dir):
@@ -325,12 +383,19 @@ def idempotent_seed(spark, sf_dir):
 
 
 def golden_builder(spark, sf_dir):
+    """Judged queries of all four kinds: text, Telugu text, image, and image with text."""
     b, labels = _read(spark, sf_dir, "benchmark"), _read(spark, sf_dir, "labels")
     grades = labels.where("quality = 1").select(F.col("doc_id").alias("item_id"), F.create_map(F.col("doc_id").cast("string"), F.col("quality")).alias("relevance"))
     text = b.join(grades, "item_id").select("item_id", F.col("text").alias("query"), F.when(F.col("item_id") % 2 == 0, "hindi").otherwise("exact").alias("type"), "relevance")
-    golden = catalog.golden_text(text, "text", ["item_id"])
-    other = catalog.golden_text(text, "telugu", ["item_id"], "te")
-    return golden.unionByName(other).select("query_id", "query", "language", "modality", "query_type", F.array_join("relevant_document_ids", ",").alias("relevant"))
+    image = F.concat(F.lit("img-"), "item_id")
+    pictures = text.select("item_id", image.alias("query_product_id"), F.map_keys("relevance").alias("relevant_product_ids"), F.lit("same label").alias("label_rule"))
+    golden = catalog.golden_union(
+        catalog.golden_text(text, "text", ["item_id"]),
+        catalog.golden_text(text, "telugu", ["item_id"], "te"),
+        catalog.golden_images(pictures, ["item_id"]),
+        catalog.golden_multimodal(text.withColumn("query_image_id", image), ["item_id"]),
+    )
+    return golden.select("query_id", "query", "language", "modality", "query_type", "query_image_id", F.array_join("relevant_document_ids", ",").alias("relevant"))
 
 
 def golden_validate(spark, sf_dir):
@@ -373,7 +438,7 @@ NAMES = [
     reranked_search, normalized_search, price_filter_after_topk, exact_filter_before_cut, parse_constraints, attribute_match,
     rewrite_queries, normalize_queries, search_documents, retrieval_metrics, metrics_by_slice, first_relevant_rank,
     ablation_delta, error_reasons, worst_failures, latency_percentiles, stage_latency, image_knn_self_excluded, multimodal_fusion,
-    search_log, idempotent_seed, golden_builder, golden_validate, catalog_hash, index_manifest, index_status, product_lookup,
+    search_log, stored_index_topk, image_metrics, weakest_images, idempotent_seed, golden_builder, golden_validate, catalog_hash, index_manifest, index_status, product_lookup,
 ]
 
 

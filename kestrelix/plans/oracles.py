@@ -159,14 +159,19 @@ _reranked = _mode("reranked", 60, "cf")
 
 JUDGED = """judged AS (SELECT query_id, b.vec_id AS doc_id, 1 + b.vec_id % 3 AS grade FROM (SELECT item_id AS query_id, label FROM benchmark JOIN embeddings ON item_id = vec_id) a
   JOIN embeddings b USING (label) WHERE query_id <> b.vec_id)"""
-_METHODS = f"""WITH {BQ}, {VEC}, {QV}, {bm25_ctes('documents', 'bq', 'lex60')},
-lexical AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM lex60 WHERE query_id <> doc_id) WHERE rank <= 10),
-{exact_ctes('exact11', 11)}, {lsh_ctes('lsh11', 11)},
-exact AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM exact11 WHERE query_id <> doc_id) WHERE rank <= 10),
-hashed AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM lsh11 WHERE query_id <> doc_id) WHERE rank <= 10),
-{fuse_ctes(['lexical', 'exact'], 'hybrid', 10)}, {fuse_ctes(['exact', 'exact', 'lexical'], 'third', 10)},
-ranking AS (SELECT 'bm25' AS method, query_id, doc_id, rank FROM lexical UNION ALL SELECT 'dense', query_id, doc_id, rank FROM hashed UNION ALL SELECT 'dense_exact', query_id, doc_id, rank FROM exact
-  UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM hybrid UNION ALL SELECT 'reranked', query_id, doc_id, rank FROM third),
+DOC_PRODUCTS = """products AS (SELECT doc_id, source AS title, text, lang AS category, source AS product_type, NULL::VARCHAR AS colour, source AS brand, n_chars AS price FROM documents)"""
+
+
+def _own(name: str, listed: str) -> str:
+    """A list without the query's own id, cut to 10."""
+    return f"{name} AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS rank FROM {listed} WHERE query_id <> doc_id) WHERE rank <= 10)"
+
+
+_METHODS = f"""WITH {BQ}, {VEC}, {QV}, {DOC_PRODUCTS}, {constraints_ctes('bq')}, {bm25_ctes('documents', 'bq')}, {exact_ctes()}, {fuse_ctes(['lexical', 'dense'])},
+{candidates_cte('fused', 'cf')}, reranked60 AS ({_mode('reranked', 11, 'cf')}), {lsh_ctes('lsh11', 11)},
+{_own('l10', 'lexical')}, {_own('e10', 'dense')}, {_own('h10', 'fused')}, {_own('r10', 'reranked60')}, {_own('a10', 'lsh11')},
+ranking AS (SELECT 'bm25' AS method, query_id, doc_id, rank FROM l10 UNION ALL SELECT 'dense', query_id, doc_id, rank FROM a10 UNION ALL SELECT 'dense_exact', query_id, doc_id, rank FROM e10
+  UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM h10 UNION ALL SELECT 'reranked', query_id, doc_id, rank FROM r10),
 {JUDGED},
 ideal AS (SELECT query_id, sum((2.0::DOUBLE ** grade - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS r FROM judged) WHERE r <= 10 GROUP BY 1),
 n_rel AS (SELECT query_id, count(*) AS n FROM judged WHERE grade > 0 GROUP BY 1),
@@ -183,6 +188,33 @@ r AS (SELECT query_id, lang AS language, round(n_reranked - n_hybrid, 6) AS delt
   CASE WHEN f_dense_exact IS NOT NULL AND (f_dense IS NULL OR f_dense_exact < f_dense) THEN '{RULES[3]}' END,
   CASE WHEN lang IN ('fr', 'de', 'es') AND recall < 1 THEN '{RULES[4]}' END) AS reasons FROM w JOIN documents ON doc_id = query_id)
 SELECT * FROM r WHERE reasons <> ''"""
+_IMAGES = f"""WITH {VEC}, {QV}, {exact_ctes(k=6)}, {_own('listed', 'dense')},
+ranking AS (SELECT * FROM listed WHERE rank <= 5), {JUDGED},
+ideal AS (SELECT query_id, sum((2.0::DOUBLE ** grade - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS r FROM judged) WHERE r <= 5 GROUP BY 1),
+n_rel AS (SELECT query_id, count(*) AS n FROM judged GROUP BY 1),
+per AS (SELECT query_id, count(*) AS hits, min(rank) AS first, sum((2.0::DOUBLE ** grade - 1) / log2(rank + 1)) AS dcg FROM ranking JOIN judged USING (query_id, doc_id) GROUP BY ALL),
+im AS (SELECT query_id, coalesce(hits / 5, 0)::DOUBLE AS precision, coalesce(hits / n, 0)::DOUBLE AS recall, coalesce(1 / first, 0)::DOUBLE AS mrr, coalesce(dcg / idcg, 0)::DOUBLE AS ndcg
+  FROM (SELECT DISTINCT query_id FROM ranking) JOIN n_rel USING (query_id) JOIN ideal USING (query_id) LEFT JOIN per USING (query_id))"""
+
+
+def _rewrite() -> str:
+    """The rewrites in their order: words of the first table anywhere, of the second as whole words."""
+    t = "replace(lower(trim(query)), '₹', ' ₹ ')"
+    for a, b in T.HINDI:
+        t = f"replace({t}, '{a}', '{b}')"
+    edge = r"(^|[^\p{L}\p{N}_])"
+    for a, b in T.HINGLISH:
+        # twice: a place between two words serves both
+        for _ in range(2):
+            t = f"regexp_replace({t}, '{edge}{a}($|[^\\p{{L}}\\p{{N}}_])', '\\1{b}\\2', 'g')"
+    # one price of this form a query is all that the batch holds
+    k = r"(^|[^\p{L}\p{N}_])(\d+(?:\.\d+)?)\s*k($|[^\p{L}\p{N}_])"
+    t = f"(SELECT CASE WHEN regexp_matches(y, '{k}') THEN regexp_replace(y, '{k}', '\\1' || floor(regexp_extract(y, '{k}', 2)::DECIMAL(30,9) * 1000)::BIGINT || '\\3') ELSE y END FROM (SELECT {t} AS y))"
+    t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\s₹.-]', ' ', 'g')"
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+
+
+REWRITE = _rewrite()
 _LAT = "count({0}) AS samples, round(quantile_cont({0}, 0.5), 4) AS p50, round(quantile_cont({0}, 0.95), 4) AS p95, CASE WHEN count({0}) >= 50 THEN round(quantile_cont({0}, 0.99), 4) END AS p99, round(avg({0}), 4) AS mean"
 _SEARCH_DOC = "concat_ws(' ', p_name, '', lower(p_type), p_brand, split_part(p_name, ' ', 1), p_type || ' ' || p_size, p_type, '')"
 _HASH = """WITH d AS (SELECT p_partkey::VARCHAR || ':' || h AS d, h[1:2] AS slot FROM (SELECT p_partkey, sha256(concat_ws(chr(31), p_partkey::VARCHAR, p_name, p_brand, p_type, p_size::VARCHAR)) AS h FROM part)),
@@ -245,11 +277,18 @@ f AS (SELECT *, {SHARE} AS share, {LABELS} AS labels FROM v JOIN anchor USING (q
 s AS (SELECT f.*, coalesce(t.score, 0) / greatest(coalesce(best, 1.0), 1e-9) AS ts FROM f LEFT JOIN texts t USING (query_id, doc_id) LEFT JOIN best USING (query_id)),
 z AS (SELECT *, round(0.5::DOUBLE / (0.5::DOUBLE + 0.2 + 0.1) * greatest(raw, 0) + 0.2::DOUBLE / (0.5::DOUBLE + 0.2 + 0.1) * ts + 0.1::DOUBLE / (0.5::DOUBLE + 0.2 + 0.1) * share, 6) AS score FROM s)
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, price, doc_id)::INT AS rank, doc_id, title, price, score, round(greatest(raw, 0), 6) AS visual, round(ts, 6) AS text_score, round(share, 6) AS attribute, array_to_string(labels, ', ') AS matched FROM z) WHERE rank <= 12""",
-    "search_log": "SELECT user_id, event_type, count(*) AS events, round(sum(value), 2) AS total_ms FROM events GROUP BY ALL",
+    "search_log": f"""{_search}, found AS ({_mode('hybrid', 12, 'cf')})
+SELECT query_id, query AS original_query, query AS normalized_query, 'hybrid' AS mode, count(doc_id) AS results, max(score) AS best FROM pq LEFT JOIN found USING (query_id) GROUP BY ALL""",
+    "stored_index_topk": f"WITH {VEC}, {QV}, {lsh_ctes()} SELECT * FROM lsh",
+    "image_metrics": f"{_IMAGES} SELECT 'image' AS modality, query_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM im",
+    "weakest_images": f"{_IMAGES} SELECT row_number() OVER (ORDER BY recall, query_id)::INT AS place, query_id, round(recall, 6) AS recall FROM (SELECT * FROM im ORDER BY recall, query_id LIMIT 5)",
+    "rewrite_queries": f"WITH {PQ} SELECT query_id, {REWRITE} AS normalized FROM pq",
     "idempotent_seed": "SELECT p_partkey, p_name FROM part WHERE p_size <= 25 UNION ALL SELECT p_partkey, p_name FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_partkey = a.p_partkey AND b.p_size <= 25)",
     "golden_builder": """WITH g AS (SELECT item_id, b.text AS query, CASE WHEN item_id % 2 = 0 THEN 'hindi' ELSE 'exact' END AS type, row_number() OVER (ORDER BY item_id) AS n FROM benchmark b JOIN labels l ON l.doc_id = item_id WHERE quality = 1)
-SELECT printf('text-%03d', n) AS query_id, query, CASE type WHEN 'hindi' THEN 'hi' ELSE 'en' END AS language, 'text' AS modality, type AS query_type, item_id::VARCHAR AS relevant FROM g
-UNION ALL SELECT printf('telugu-%03d', n), query, 'te', 'text', type, item_id::VARCHAR FROM g""",
+SELECT printf('text-%03d', n) AS query_id, query, CASE type WHEN 'hindi' THEN 'hi' ELSE 'en' END AS language, 'text' AS modality, type AS query_type, NULL::VARCHAR AS query_image_id, item_id::VARCHAR AS relevant FROM g
+UNION ALL SELECT printf('telugu-%03d', n), query, 'te', 'text', type, NULL, item_id::VARCHAR FROM g
+UNION ALL SELECT printf('image-%03d', n), '', 'none', 'image', 'image_to_image', 'img-' || item_id, item_id::VARCHAR FROM g
+UNION ALL SELECT printf('multimodal-%03d', n), query, 'en', 'multimodal', 'image_plus_text', 'img-' || item_id, item_id::VARCHAR FROM g""",
     "golden_validate": """WITH r AS (SELECT 'c-' || conv_id AS query_id, CASE WHEN turn = 0 THEN '' ELSE text END AS query, CASE WHEN role = 'user' THEN 'text' ELSE 'image' END AS modality, CASE WHEN turn % 2 = 1 THEN 'img' END AS image FROM conversations),
 v AS (SELECT query_id, 'text query has no text' AS violation FROM r WHERE modality = 'text' AND coalesce(trim(query) = '', true)
 UNION ALL SELECT query_id, 'query needs query_image_id' FROM r WHERE modality = 'image' AND image IS NULL

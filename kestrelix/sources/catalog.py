@@ -96,17 +96,65 @@ def golden_text(rows: DataFrame, prefix: str, order: list[str], language=None) -
     )
 
 
+def golden_images(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Judged image queries (query_product_id, relevant_product_ids, label_rule), numbered image-001, ..."""
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.orderBy(*order))  # judged sets are small and curated
+    relevant = F.col("relevant_product_ids")
+    return rows.select(
+        F.format_string("image-%03d", number).alias("query_id"), F.lit("").alias("query"), F.lit("none").alias("language"), F.lit("image").alias("modality"),
+        F.lit("image_to_image").alias("query_type"), F.col("query_product_id").alias("query_image_id"), relevant.alias("relevant_document_ids"),
+        F.map_from_arrays(relevant, F.transform(relevant, lambda x: F.lit(1))).alias("graded_relevance"), F.col("label_rule").alias("notes"),
+    )
+
+
+def golden_multimodal(rows: DataFrame, order: list[str], language: str = "en") -> DataFrame:
+    """Judged image-with-text queries (query_image_id, query, relevance), numbered multimodal-001, ..."""
+    text = golden_text(rows.withColumn("type", F.lit("image_plus_text")), "multimodal", order, language)
+    from pyspark.sql import Window
+
+    images = rows.select(F.format_string("multimodal-%03d", F.row_number().over(Window.orderBy(*order))).alias("query_id"), "query_image_id")
+    return text.join(images, "query_id").withColumn("modality", F.lit("multimodal")).withColumn("notes", F.lit(""))
+
+
+def golden_union(*parts: DataFrame) -> DataFrame:
+    """All judged queries under one schema; columns that a source lacks are null."""
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return coerce_golden(out)
+
+
 def judgements(golden: DataFrame) -> DataFrame:
     """(query_id, doc_id, grade)."""
     return golden.select("query_id", F.explode("graded_relevance").alias("doc_id", "grade"))
 
 
+SLOTS = 256
+SLOT_ROWS = 20_000  # digests of 72 bytes in one slot
+
+
 def content_hash(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(rows, content_hash): sha256 over the sorted row digests, whatever the partitioning."""
+    """(rows, content_hash): sha256 over the sorted row digests, whatever the partitioning.
+
+    Digests are sorted in slots by their first hex digits, at least two; more of them for more
+    rows, so that no slot grows with the table. The hashes of four-digit slots are hashed by
+    their first two digits, and so on up to one.
+    """
     digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
-    slots = rows.select(F.substring(digest, 1, 2).alias("slot"), F.concat_ws(":", F.col(key).cast("string"), digest).alias("d"))
-    parts = slots.groupBy("slot").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("h"), F.count("*").alias("n"))
-    return parts.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "h"))), lambda x: x["h"]), "\n"), 256).alias("content_hash"))
+    depth = 2
+    total = rows.count()
+    while total > SLOT_ROWS * 16**depth:
+        depth += 2
+    slots = rows.select(F.substring(digest, 1, depth).alias("slot"), F.concat_ws(":", F.col(key).cast("string"), digest).alias("d"))
+    joined = lambda c: F.sha2(F.array_join(c, "\n"), 256)
+    parts = slots.groupBy("slot").agg(joined(F.array_sort(F.collect_list("d"))).alias("h"), F.count("*").alias("n"))
+    listed = joined(F.transform(F.array_sort(F.collect_list(F.struct("slot", "h"))), lambda x: x["h"]))
+    while depth > 2:
+        depth -= 2
+        parts = parts.groupBy(F.substring("slot", 1, depth).alias("up")).agg(listed.alias("h"), F.sum("n").alias("n")).withColumnRenamed("up", "slot")
+    return parts.agg(F.sum("n").alias("rows"), listed.alias("content_hash"))
 
 
 def manifest(rows: DataFrame, key: str, columns: list[str], mode: str, dim: int, backend: str) -> DataFrame:
@@ -122,6 +170,15 @@ def manifest_matches(stored: DataFrame, current: DataFrame) -> bool:
         return False
 
 
+def log_rows(queries: DataFrame, understood: DataFrame, mode: str, latency_ms: float | None = None) -> DataFrame:
+    """Rows of search_queries for a batch: what was asked, how it was read, and when."""
+    parsed = [c for c in understood.columns if c.startswith("c_")]
+    read = understood.select("query_id", F.col("query").alias("normalized_query"), F.to_json(F.struct(*[F.col(c).alias(c[2:]) for c in parsed])).alias("parsed_attributes"))
+    return queries.select("query_id", F.col("query").alias("original_query")).join(read, "query_id", "left").select(
+        "query_id", "original_query", "normalized_query", "parsed_attributes", F.lit(mode).alias("mode"), F.lit(latency_ms).cast("double").alias("latency_ms"), F.current_timestamp().alias("created_at")
+    )
+
+
 def append_log(queries: DataFrame, events: DataFrame, path: str) -> bool:
     """Appends a batch of searches and their result events; never fails the search itself."""
     try:
@@ -137,27 +194,14 @@ def seed(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return existing.unionByName(incoming.join(existing.select(key), key, "left_anti").select(*existing.columns))
 
 
-def save_index(vectors: DataFrame, path: str, backend: str) -> None:
-    """Vectors with their signatures, and the name of the backend that searches them."""
-    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    vectors.sparkSession.createDataFrame([(backend,)], "backend string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
-
-
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    backend = spark.read.schema("backend string").json(f"{path}/meta").first()["backend"]
-    if backend not in ("exact", "hyperplane"):
-        raise ValueError(f"unknown vector backend: {backend}")
-    return spark.read.parquet(f"{path}/vectors"), backend
-
-
 def create_tables(spark: SparkSession, prefix: str = "") -> None:
     """The five tables of the service: products, images, searches, events and index versions."""
     columns = {
         "products": "id STRING, title STRING, description STRING, category STRING, brand STRING, colour STRING, price INT, attributes MAP<STRING,STRING>, tags ARRAY<STRING>",
         "product_images": "product_id STRING, image_path STRING",
-        "search_queries": "query_id STRING, query STRING, mode STRING, latency_ms DOUBLE, created_at TIMESTAMP",
+        "search_queries": "query_id STRING, original_query STRING, normalized_query STRING, parsed_attributes STRING, mode STRING, latency_ms DOUBLE, created_at TIMESTAMP",
         "search_events": "query_id STRING, product_id STRING, rank INT, score DOUBLE",
-        "index_versions": "version INT, mode STRING, content_hash STRING, created_at TIMESTAMP",
+        "index_versions": "version INT, product_count BIGINT, dense_model STRING, visual_model STRING, build_seconds DOUBLE, created_at TIMESTAMP",
     }
     for name, cols in columns.items():
         spark.sql(f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({cols}) USING parquet")

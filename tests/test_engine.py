@@ -1,6 +1,9 @@
 """Known answers for the engine's own operators."""
 
 import json
+import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -8,8 +11,8 @@ from pyspark.sql import functions as F
 
 from kestrelix.functions import text as T
 from kestrelix.operators import evaluation as E
-from kestrelix.operators import lsi, retrieval, search
-from kestrelix.sources import catalog
+from kestrelix.operators import lsi, reporting, retrieval, search, service
+from kestrelix.sources import catalog, images, index
 
 
 def rows(df):
@@ -145,11 +148,6 @@ def test_hash_seed_log_index(spark, tmp_path):
     assert catalog.append_log(a, a, str(tmp_path / "log")) and catalog.append_log(a, a, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log/search_events")).count() == 60
     assert not catalog.append_log(a, a.select(F.lit(None)), "/proc/nowhere")
-    catalog.save_index(a, str(tmp_path / "index"), "exact")
-    assert catalog.load_index(spark, str(tmp_path / "index"))[1] == "exact"
-    catalog.save_index(a, str(tmp_path / "index"), "other")
-    with pytest.raises(ValueError):
-        catalog.load_index(spark, str(tmp_path / "index"))
 
 
 def test_latent_vectors_keep_neighbours(spark):
@@ -157,16 +155,208 @@ def test_latent_vectors_keep_neighbours(spark):
     weights = lsi.tfidf(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert all(r["n"] == pytest.approx(1) for r in weights.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect())
     model = lsi.LatentModel(dim=2).fit(weights)
-    assert np.allclose(model.vectors.T @ model.vectors, np.eye(model.vectors.shape[1]), atol=1e-9)
     v = {r["doc_id"]: np.array(r["v"]) for r in model.encode(weights).collect()}
     assert v[0] @ v[1] > 0.9 and abs(v[0] @ v[2]) < 0.1
 
 
+def test_latent_model_is_the_truncated_decomposition(spark):
+    """Against numpy on the whole matrix: singular values, subspace, and encoded documents."""
+    rng = random.Random(5)
+    topics = [0] * 25 + [1] * 18 + [2] * 13 + [3] * 8 + [4] * 6  # five themes of their own words stand out
+    texts = [" ".join(rng.choices([f"t{t}w{j}" for j in range(6)], k=40)) for t in topics] + [""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = lsi.tfidf(docs)
+    terms = sorted({r["term"] for r in weights.collect()})
+    at = {t: i for i, t in enumerate(terms)}
+    a = np.zeros((len(texts), len(terms)))
+    for r in weights.collect():
+        a[r["doc_id"], at[r["term"]]] = r["weight"]
+    _, s, vt = np.linalg.svd(a, full_matrices=False)
+    model = lsi.LatentModel(dim=5, more=10, rounds=6).fit(weights)
+    assert np.allclose(model.values, s[:5], rtol=1e-3)
+    v = np.zeros((len(terms), 5))
+    for r in model.basis.collect():
+        v[at[r["term"]]] = r[1:]
+    assert model.basis.count() == len(terms)  # no term is left out
+    assert np.allclose(v.T @ v, np.eye(5), atol=1e-8)
+    assert np.linalg.svd(vt[:5] @ v)[1].min() > 0.999
+    got = {r["doc_id"]: np.array(r["v"]) for r in model.encode(weights, docs).collect()}
+    assert len(got) == len(texts) and not got[70].any()
+    want = a @ v
+    for i in range(70):
+        assert np.allclose(got[i], want[i] / np.linalg.norm(want[i]), atol=1e-5)
+
+
+def test_latent_model_of_few_documents(spark):
+    """Fewer documents than dimensions: as many vectors as there are."""
+    weights = lsi.tfidf(spark.createDataFrame([(0, "a red shoe"), (1, "blue kettle"), (2, "blue kettle")], "doc_id long, text string"))
+    model = lsi.LatentModel().fit(weights)
+    v = {r["doc_id"]: np.array(r["v"]) for r in model.encode(weights).collect()}
+    assert len(model.values) == 2 and v[1] @ v[2] == pytest.approx(1, abs=1e-5) and abs(v[0] @ v[1]) < 1e-5
+
+
 def test_image_descriptor():
-    rng = np.random.default_rng(1)
-    v = lsi.image_descriptor(rng.integers(0, 256, (24, 30, 3)))
+    def picture(h, w):
+        y, x = np.meshgrid((np.arange(h) + 0.5) / h, (np.arange(w) + 0.5) / w, indexing="ij")
+        return np.stack([128 + 100 * np.sin(5 * x + 3 * y + c) for c in range(3)], axis=2)
+
+    v = lsi.image_descriptor(picture(96, 96))
     assert v.shape == (124,) and np.linalg.norm(v) == pytest.approx(1, rel=1e-5)
     assert lsi.image_descriptor(np.zeros((4, 4, 3))).shape == (124,)
+    for size in ((48, 60), (300, 200)):  # the size of an image does not show
+        assert v @ lsi.image_descriptor(picture(*size)) > 0.99
+
+
+def test_resampling():
+    flat = np.full((7, 5), 77.0)
+    assert (lsi.resized(flat, 96, 96) == 77).all()
+    ramp = np.tile(np.arange(0, 200, 10.0), (4, 1))
+    assert (lsi.resized(ramp, 4, 20) == ramp).all()  # its own size: unchanged
+    half = lsi.resized(ramp, 4, 10)
+    assert np.allclose(half[0, 2:-2], np.arange(5, 200, 20)[2:-2], atol=1)
+
+
+def png(pixels):
+    """A PNG file of an RGB array, written by hand."""
+    h, w, _ = pixels.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + row.astype(np.uint8).tobytes() for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_images_are_read_with_a_limit(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    pixels = rng.integers(0, 256, (20, 31, 3))
+    (tmp_path / "good.png").write_bytes(png(pixels))
+    (tmp_path / "bad.png").write_bytes(b"no image at all")
+    (tmp_path / "large.png").write_bytes(png(rng.integers(0, 256, (200, 200, 3))))
+    got = {r["key"].rsplit("/", 1)[1]: r for r in images.read_images(spark, str(tmp_path), 50_000).collect()}
+    assert {n: r["problem"] for n, r in got.items()} == {"good.png": None, "bad.png": images.UNSUPPORTED, "large.png": images.TOO_LARGE}
+    r = got["good.png"]
+    assert (r["height"], r["width"]) == (20, 31) and (np.frombuffer(r["rgb"], np.uint8).reshape(20, 31, 3) == pixels).all() and got["large.png"]["rgb"] is None
+    table = images.read_images(spark, str(tmp_path), 50_000).where("problem is null")
+    assert np.allclose(lsi.describe_images(table).first()["v"], lsi.image_descriptor(pixels), atol=1e-6)
+
+
+def unit_table(spark, n=64, dim=16):
+    v = np.random.default_rng(7).standard_normal((n, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return spark.createDataFrame([(i, [float(a) for a in x]) for i, x in enumerate(v)], "doc_id long, v array<float>")
+
+
+def test_stored_index(spark, tmp_path):
+    table, path = unit_table(spark), str(tmp_path / "index")
+    built = index.VectorIndex(spark, path).open(table, "h1")
+    assert not built.loaded and index.VectorIndex(spark, path).open(table, "h1").loaded
+    found = index.VectorIndex(spark, path, backend="hnsw").open(table, "h1")  # no graph index: the true backend is named
+    assert found.loaded and found.status().first()["vector_index"] == "hyperplane"
+    asked = table.where("doc_id < 5").withColumnRenamed("doc_id", "query_id")
+    want = sorted(rows(retrieval.lsh_topk(asked, table, 4, retrieval.planes(16))))
+    assert sorted(rows(found.search(asked, 4))) == want
+    # another catalogue, another order or set of ids, other models, or a corrupt manifest: built again
+    for other in (dict(table=table, digest="h2"), dict(table=table.where("doc_id <> 3"), digest="h2"), dict(table=table, digest="h1", dense_model="another")):
+        model = {"dense_model": other["dense_model"]} if "dense_model" in other else {}
+        assert not index.VectorIndex(spark, path, **model).open(other["table"], other["digest"]).loaded
+    index.VectorIndex(spark, path).open(table, "h1")
+    for f in (tmp_path / "index" / "manifest").glob("part-*"):
+        f.write_text('{"version": 1, "mode"')
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    again = index.VectorIndex(spark, path).open(table, "h1")
+    assert not again.loaded and index.VectorIndex(spark, path).open(table, "h1", force=True).loaded is False
+    status = again.status().first()
+    assert (status["indexed_items"], status["embedding_dimension"], status["numeric_vector_bytes"]) == (64, 16, 4096) and status["index_bytes"] > 0 and status["last_rebuild_at"]
+    exact = index.VectorIndex(spark, str(tmp_path / "exact"), backend="exact").open(table, "h1")
+    assert sorted(rows(exact.search(asked, 4).drop("fallback"))) == sorted(rows(retrieval.exact_topk(asked, table, 4)))
+    with pytest.raises(ValueError):
+        index.choose_backend("other")
+    part = spark.createDataFrame([(1, "a")], "id long, name string")
+    assert index.build_status(spark, part, "id", ["id", "name"], table, str(tmp_path / "third")).first()["catalog_hash"]
+
+
+def test_service(spark, tmp_path):
+    products = spark.createDataFrame([(i, f"red shoe {i}", f"t{i}", "shoes", "shoe", "red", "Nike", None, None, 100.0 + i) for i in range(8)], "doc_id long, text string, title string, category string, product_type string, colour string, brand string, material string, gender string, price double")
+    table = unit_table(spark, 8)
+    opened = index.VectorIndex(spark, str(tmp_path / "i"), backend="exact").open(table, "h")
+    encode = lambda asked: asked.select("query_id", F.array(*[F.lit(0.25)] * 16).cast("array<float>").alias("v"))
+    served = service.SearchService(spark, products, opened, encode, str(tmp_path / "log"), admin_key="k")
+    first = served.search("red shoe under 105", 3)
+    assert len(first) == 3 and served.search("red shoe under 105", 3) is first  # the second from the cache
+    log, events = spark.read.parquet(str(tmp_path / "log/search_queries")).collect(), spark.read.parquet(str(tmp_path / "log/search_events")).collect()
+    assert len(log) == 1 and log[0]["original_query"] == "red shoe under 105" and json.loads(log[0]["parsed_attributes"])["price_max"] == 105 and log[0]["created_at"]
+    assert sorted(e["rank"] for e in events) == [1, 2, 3] and {e["query_id"] for e in events} == {log[0]["query_id"]}
+    assert served.debug(log[0]["query_id"])["results"] == first and served.debug("x") is None
+    assert served.health()["status"] == "ok" and served.health()["vector_index"] == "exact"
+    with pytest.raises(PermissionError):
+        served.reindex("wrong", table, "h")
+    assert not served.reindex("k", table, "h").first()["loaded_from_persisted_index"] and served.cache.get(served.cache.key("lightweight", "red shoe under 105", 3, "reranked")) is None
+    for bad in ("", "x" * 301):
+        with pytest.raises(ValueError):
+            served.search(bad)
+
+
+def test_cache():
+    now = [0.0]
+    cache = service.ResultCache(ttl=120, most=2, clock=lambda: now[0])
+    for i in range(3):
+        cache.set(str(i), [i])
+    assert cache.get("0") is None and cache.get("2") == [2]
+    now[0] = 121
+    assert cache.get("2") is None
+    assert cache.key("a", "q", 1, "m") == cache.key("a", "q", 1, "m") != cache.key("a", "q", 2, "m")
+
+
+def test_reports(spark, tmp_path):
+    golden = catalog.coerce_golden(spark.createDataFrame([("a", "x", "text"), ("b", "", "image")], "query_id string, query string, modality string").select(
+        "*", *[F.lit(None).cast(t).alias(n) for n, t in (("language", "string"), ("query_type", "string"), ("query_image_id", "string"), ("relevant_document_ids", "array<string>"), ("graded_relevance", "map<string,int>"), ("notes", "string"))]
+    ))
+    assert {m: t.count() for m, t in reporting.by_modality(golden).items()} == {"text": 1, "image": 1, "multimodal": 0}
+    found = spark.createDataFrame([("b", "me", 1), ("b", "d1", 2), ("b", "d2", 3), ("c", "me", 1)], "query_id string, doc_id string, rank int")
+    judged = spark.createDataFrame([("b", "d1", 1), ("c", "me", 1)], "query_id string, doc_id string, grade int")
+    kinds = spark.createDataFrame([("b", "image", "me"), ("c", "multimodal", "me")], "query_id string, modality string, query_image_id string")
+    got = {r["query_id"]: r for r in reporting.modality_metrics(found, judged, kinds).collect()}
+    assert got["b"]["mrr"] == 1.0 and got["b"]["precision"] == pytest.approx(0.2) and got["c"]["mrr"] == 1.0
+    weak = reporting.weakest(spark.createDataFrame([(i, 1 - i % 3 / 2) for i in range(9)], "query_id long, recall double"), 4)
+    assert [(r["place"], r["query_id"]) for r in weak.orderBy("place").collect()] == [(1, 2), (2, 5), (3, 8), (4, 1)]
+    notes = reporting.annotated(spark.createDataFrame([(1, "r"), (2, "r")], "query_id long, reasons string"), spark.createDataFrame([(1, "x"), (2, "X")], "query_id long, query string"), spark.createDataFrame([("x", "seen")], "query string, note string"))
+    assert {r["query_id"]: r["note"] for r in notes.collect()} == {1: "seen", 2: None}
+    summary = E.latency_summary(spark.createDataFrame([("hybrid", 10.0), ("reranked", 13.5)], "method string, ms double"), ["method"], "ms")
+    assert reporting.latency_delta(summary, "reranked", "hybrid").first()["delta"] == 3.5
+    assert "| hybrid | 1 | 10.0000 |" in reporting.markdown(summary.orderBy("method"), "Latency")
+    speed = reporting.throughput(lambda q: None, list(range(30)))
+    assert speed["queries"] == 24 and speed["qps"] > 0 and reporting.throughput(len, [])["qps"] == 0.0
+    with pytest.raises(FileNotFoundError):
+        reporting.read_artifact(spark, str(tmp_path / "none"), "full")
+    path = str(tmp_path / "artifacts")
+    reporting.write_artifact(summary, path, "lightweight")
+    assert not reporting.read_artifact(spark, path, "full").first()["artifact_mode_matches_runtime"]
+    reporting.write_artifact(summary, path, "full")
+    assert reporting.read_artifact(spark, path, "full").first()["artifact_mode_matches_runtime"] and reporting.read_artifact(spark, path, "lightweight").first()["artifact_mode"] == "lightweight"
+    row = reporting.ann_scale(spark, 300, dim=32, queries=5).first()
+    assert row["queries"] == 5 and 0 < row["recall"] <= 1 and row["build_seconds"] > 0
+
+
+def test_tables_and_catalogue_file(spark, tmp_path):
+    path = tmp_path / "catalog.jsonl"
+    path.write_text('{"id": "a", "title": "t", "price": 3, "attributes": {"material": "steel"}, "tags": ["x"]}\n\n')
+    row = catalog.read_catalog(spark, str(path)).first()
+    assert row["attributes"] == {"material": "steel"} and row["search_text_hi"] is None
+    path.write_text('{"id": 1')
+    with pytest.raises(Exception):
+        catalog.read_catalog(spark, str(path)).collect()
+    spark.sql(f"CREATE DATABASE shop LOCATION '{tmp_path}/shop'")
+    catalog.create_tables(spark, "shop.")
+    catalog.create_tables(spark, "shop.")
+    assert {r["tableName"] for r in spark.sql("SHOW TABLES IN shop").collect()} == {"products", "product_images", "search_queries", "search_events", "index_versions"}
+    spark.sql("INSERT INTO shop.index_versions VALUES (1, 82, 'd', 'v', 0.5, current_timestamp())")
+    assert spark.table("shop.index_versions").first()["product_count"] == 82
+    spark.sql("DROP DATABASE shop CASCADE")
+
+
+def test_hash_slots_deepen(spark, monkeypatch):
+    a = spark.createDataFrame([(i, f"n{i}") for i in range(300)], "id long, name string")
+    monkeypatch.setattr(catalog, "SLOT_ROWS", 1)
+    assert catalog.content_hash(a, "id", ["id"]).first() == catalog.content_hash(a.repartition(5), "id", ["id"]).first()
+    assert catalog.content_hash(a, "id", ["id"]).first()["rows"] == 300
 
 
 def test_search_modes(spark):
