@@ -1,6 +1,6 @@
 """Best-fit sequence packing by minimum bin slack.
 
-1. One pass tokenises whole texts and cuts the few that are longer than a sequence.
+1. One pass tokenises whole texts, each distinct chunk of a batch once, and cuts the few that are longer than a sequence.
 2. The histogram of piece lengths (at most ``capacity`` rows, whatever the corpus
    size) goes to the driver. There each bin is opened with the longest piece left, and a
    bitset subset-sum over all available lengths finds the fullest way to complete it. The
@@ -23,13 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrelix.llm.scratch import remove, written
-from kestrelix.llm.textops import pieces
+from kestrelix.llm.scratch import tidy, written
+from kestrelix.llm.textops import pieces, span_hashes, text_buffer
 
 BROADCAST_ROWS = 2_000_000  # of 20 bytes: at most 40 MB
-_CACHE = 200_000
-#: a blank beside other white space: there a text is not cut into independent chunks
-_RUN = re.compile(r"\s \s| \s")
+PIECE = 2 << 20  # bytes of text whose chunks are encoded together
 
 
 def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -76,62 +74,140 @@ def _encoder(ranks_path: str, pattern: str):
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    size[list(ranks.values())] = [len(x) for x in ranks]
+    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size
+
+
+#: last bytes of white space beyond ASCII, in UTF-8
+_WIDE_LAST = np.zeros(256, bool)
+_WIDE_LAST[[0x85, 0xA0, 0x9F, 0xA8, 0xA9, 0xAF, *range(0x80, 0x8B)]] = True
+_WIDE_FIRST = np.zeros(256, bool)
+_WIDE_FIRST[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
 class ChunkTokenizer:
-    """Ids of whole texts as little-endian uint32 bytes.
+    """Ids of whole texts.
 
     A text is first cut at the vocabulary's added tokens (``added``: string to id), each of
-    which is one id. No other token crosses a blank that has no white space beside it, so a
-    text is cut there and the ids of chunks are kept in a bounded cache. What holds other
-    white space is encoded in one go.
+    which is one id. No other token crosses a blank that has no white space beside it, so texts
+    are cut there into chunks, and each distinct chunk of a batch is encoded once: all of them
+    in one string, whose ids are dealt back by the bytes they stand for. Texts with an added
+    token, or with other white space beside a blank, are encoded one by one.
     """
 
     def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None):
-        self.encode = _encoder(ranks_path, pattern).encode_ordinary
-        self.added = {t: np.array([i], np.uint32).tobytes() for t, i in (added or {}).items()}
+        encoding, self.bytes_of = _encoder(ranks_path, pattern)
+        self.encode = encoding.encode_ordinary
+        self.added = {t: np.array([i], np.uint32) for t, i in (added or {}).items()}
         longest_first = sorted(self.added, key=lambda t: (-len(t), t))
         self.cuts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
-        self.cache: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
+    def ids(self, text: str) -> np.ndarray:
+        """One text, encoded in one go but for the added tokens."""
         if self.cuts is None or not self.cuts.search(text):
-            return self._plain(text)
-        return b"".join(self.added[x] if x in self.added else self._plain(x) for x in self.cuts.split(text) if x)
-
-    def _plain(self, text: str) -> bytes:
-        if _RUN.search(text):
-            return np.array(self.encode(text), np.uint32).tobytes()
-        head, *tail = text.split(" ")
-        out = [np.array(self.encode(head), np.uint32).tobytes()]
-        cache = self.cache
-        for chunk in tail:
-            got = cache.get(chunk)
-            if got is None:
-                if len(cache) >= _CACHE:
-                    cache.clear()
-                got = cache[chunk] = np.array(self.encode(" " + chunk), np.uint32).tobytes()
-            out.append(got)
-        return b"".join(out)
+            return np.array(self.encode(text), np.uint32)
+        parts = [self.added[x] if x in self.added else np.array(self.encode(x), np.uint32) for x in self.cuts.split(text) if x]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+    def _alone(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Marks the texts that are encoded one by one."""
+        n = len(buf)
+        blank = np.flatnonzero(buf == 32)
+        before, after = buf[np.maximum(blank - 1, 0)], buf[np.minimum(blank + 1, n - 1)]
+        owner = np.searchsorted(offsets, blank, "right") - 1
+        inner = (_SPACE[before] | _WIDE_LAST[before]) & (blank > offsets[owner])
+        outer = (_SPACE[after] | _WIDE_FIRST[after]) & (blank + 1 < offsets[owner + 1])
+        alone = np.zeros(len(offsets) - 1, bool)
+        alone[owner[inner | outer]] = True
+        whole = buf.tobytes()
+        for token in self.added:
+            at = whole.find(token.encode())
+            while at >= 0:
+                alone[np.searchsorted(offsets, at, "right") - 1] = True
+                at = whole.find(token.encode(), at + 1)
+        return alone
+
+    def _pool(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the given chunks, and for each its place among them and how many it has."""
+        # a chunk without a blank in front, or with white space behind, would join its neighbours
+        last, length = buf[end - 1], end - start
+        plain = (buf[start] == 32) & (length > 1) & ~_SPACE[last] & ~_WIDE_LAST[last]
+        sizes, place, flat = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), np.zeros(0, np.uint32)
+        joined = np.flatnonzero(plain)
+        if len(joined):
+            n = length[joined]
+            ends = np.cumsum(n)
+            joint = buf[np.repeat(start[joined] - (ends - n), n) + np.arange(ends[-1])]
+            flat = np.array(self.encode(joint.tobytes().decode()), np.uint32)
+            reach = np.cumsum(self.bytes_of[flat])
+            at = np.searchsorted(reach, ends)
+            if at[-1] < len(reach) and (reach[at] == ends).all():
+                place[joined] = np.concatenate([[0], at[:-1] + 1])
+                sizes[joined] = at + 1 - place[joined]
+            else:  # a token across two chunks: never seen, and each is encoded for itself
+                plain[:], flat = False, np.zeros(0, np.uint32)
+        parts, total = [flat], len(flat)
+        for i in np.flatnonzero(~plain).tolist():
+            parts.append(np.array(self.encode(buf[start[i] : end[i]].tobytes().decode()), np.uint32))
+            sizes[i], place[i] = len(parts[-1]), total
+            total += len(parts[-1])
+        return np.concatenate(parts), place, sizes
+
+    def batch(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end_id``, and n + 1 bounds; null counts as empty."""
+        buf, offsets = text_buffer(column)
+        n = len(offsets) - 1
+        alone = self._alone(buf, offsets) if len(buf) else np.zeros(n, bool)
+        blank = np.flatnonzero(buf == 32)
+        blank = blank[~alone[np.searchsorted(offsets, blank, "right") - 1]] if len(blank) else blank
+        filled = np.flatnonzero(np.diff(offsets) > 0)
+        start = np.sort(np.concatenate([offsets[filled], blank]))  # a text that stands alone is one chunk
+        start = start[np.concatenate([[True], start[1:] != start[:-1]])] if len(start) else start
+        owner = np.searchsorted(offsets, start, "right") - 1
+        end = np.minimum(np.append(start[1:], len(buf)), offsets[owner + 1])
+        one, two = span_hashes(buf, start, end)
+        _, first, entry = np.unique(one, return_index=True, return_inverse=True)
+        lone = alone[owner[first]]
+        if not (two == two[first][entry]).all():  # two chunks of one hash: each for itself
+            first, entry = np.arange(len(start)), np.arange(len(start))
+            lone = alone[owner]
+        usual, whole = np.flatnonzero(~lone), np.flatnonzero(lone)
+        ids, at, length = self._pool(buf, start[first[usual]], end[first[usual]])
+        extra = [self.ids(buf[a:b].tobytes().decode()) for a, b in zip(start[first[whole]].tolist(), end[first[whole]].tolist())]
+        pool = np.concatenate([ids, *extra, np.array([end_id], np.uint32)])
+        sizes, place = np.zeros(len(first) + 1, np.int64), np.zeros(len(first) + 1, np.int64)
+        sizes[usual], place[usual] = length, at
+        sizes[whole] = [len(x) for x in extra]
+        place[whole] = len(ids) + np.cumsum(sizes[whole]) - sizes[whole]
+        sizes[-1], place[-1] = 1, len(pool) - 1
+        # after the chunks of each text its end
+        order = np.argsort(np.concatenate([2 * owner, 2 * np.arange(n) + 1]), kind="stable")
+        entry = np.concatenate([entry, np.full(n, len(first))])[order]
+        length = sizes[entry]
+        total = np.cumsum(length)
+        at = np.repeat(place[entry] - (total - length), length) + np.arange(total[-1] if len(total) else 0)
+        ends = total[order >= len(start)]
+        return pool[at], np.concatenate([[0], ends])
 
 
 def _tokenise(batches, ranks_path: str, pattern: str, added: dict[str, int], end_id: int, capacity: int):
     tok = ChunkTokenizer(ranks_path, pattern, added)
-    end = np.array([end_id], np.uint32).tobytes()
     part = TaskContext.get().partitionId()
     seen: Counter = Counter()
     for whole in batches:
-        for batch in pieces(whole, "text", 1 << 20):
+        for batch in pieces(whole, "text", PIECE):
+            ids, bound = tok.batch(batch.column("text"), end_id)
             cols = ([], [], [], [], [], [])
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = (tok.ids(text) if text else b"") + end
-                n = len(ids) // 4
+            for doc, low, high in zip(batch.column("doc_id").to_pylist(), bound[:-1].tolist(), bound[1:].tolist()):
+                n = high - low
                 stop = n % capacity or min(n, capacity)
                 start = piece = 0
                 while start < n:
                     size = stop - start
-                    for c, x in zip(cols, (doc, piece, start, size, ids[4 * start : 4 * stop], seen[size])):
+                    for c, x in zip(cols, (doc, piece, start, size, ids[low + start : low + stop].tobytes(), seen[size])):
                         c.append(x)
                     seen[size] += 1
                     start, stop, piece = stop, stop + capacity, piece + 1
@@ -149,6 +225,7 @@ def _tokenise(batches, ranks_path: str, pattern: str, added: dict[str, int], end
             )
 
 
+@tidy
 def pack_documents(
     docs: DataFrame,
     ranks_path: str,
@@ -178,7 +255,7 @@ def pack_documents(
     table, _ = written(cut, "pieces")
 
     # rank of a piece among those of its length: its place in its part after all parts before
-    parts, where = written(table.groupBy("part", "length").agg(F.count("*").alias("n")), "parts")
+    parts, _ = written(table.groupBy("part", "length").agg(F.count("*").alias("n")), "parts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -139,6 +139,24 @@ class Words:
         return slice(int(self.bound[i]), int(self.bound[i + 1]))
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the bytes start:end of each span of ``buf``."""
+    out = []
+    for table, base in ((_BYTE, _BASE), (_BYTE_2, _STEP)):
+        up, down = powers(base, len(buf) + 1)
+        total = np.empty(len(buf) + 1, np.uint64)
+        total[0] = 0
+        values = table[buf]
+        values *= up[: len(buf)]
+        np.cumsum(values, out=total[1:])
+        h = total[end]
+        h -= total[start]
+        h *= down[start]
+        h ^= (end - start).astype(np.uint64)
+        out.append(mix(h))
+    return out[0], out[1]
+
+
 def windows(hashes: np.ndarray, k: int, base: int = _STEP) -> np.ndarray:
     """Hashes of all runs of k consecutive items; too short: none."""
     n = len(hashes) - k + 1
