@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelix.llm.scratch import written
+from kestrelix.llm.scratch import tidy, written
 
 BROADCAST_ROWS = 500_000  # benchmark windows of 24 bytes
 ITEM_ROWS = 20_000  # items of about 2 kB
@@ -32,18 +32,19 @@ _SPLIT = r"[^\p{L}\p{N}]+"
 # the look-behinds come after the first letter: they are tried at few places only
 _NAMED = r"\p{Lu}(?<=[\p{Ll}\p{N},;:] \p{Lu})[\p{Ll}]+"
 _CAPITAL = r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+"
-_MEASURED = r"(\p{N} ?)(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
+_MEASURED = r"(\p{N}) ?(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
 
 
 def raw_words(text):
-    return F.array_remove(F.split(F.lower(text), _SPLIT), "")
+    """Lower-cased words; a unit is a word of its own, also where it is glued to its number."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), _MEASURED, "$1 $2"), _SPLIT), "")
 
 
 def template_words(text, names: bool = True):
     """As many words as :func:`raw_words`, with placeholders for numbers, units and names."""
     if names:
         text = F.regexp_replace(text, _NAMED, NAME)
-    text = F.regexp_replace(F.lower(text), _MEASURED, f"$1{UNIT}")
+    text = F.regexp_replace(F.lower(text), _MEASURED, f"$1 {UNIT}")
     return F.array_remove(F.split(F.regexp_replace(text, r"\p{Nd}+", NUMBER), _SPLIT), "")
 
 
@@ -54,7 +55,7 @@ def _slot(word):
 def _marked(text):
     """As many words as :func:`raw_words`, numbers replaced, units and capitalised words marked."""
     text = F.regexp_replace(F.regexp_replace(text, r"\p{Nd}+", NUMBER), _CAPITAL, f"{NAME}$0{NAME}")
-    return F.array_remove(F.split(F.regexp_replace(F.lower(text), _MEASURED, f"$1{UNIT}$2{UNIT}"), _SPLIT), "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), _MEASURED, f"$1 {UNIT}$2{UNIT}"), _SPLIT), "")
 
 
 def _readings(words):
@@ -93,6 +94,7 @@ def _windows(rows: DataFrame, gapped: bool) -> DataFrame:
     return rows.select(*kept, "p", F.explode_outer(h).alias("h")).where("h is not null")
 
 
+@tidy
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -103,12 +105,14 @@ def find_leaks(
     coverage: float = 0.7,
     min_words: int = 5,
 ) -> DataFrame:
-    """One row for each document and benchmark item that it contains.
+    """One row for each document (id and text) and benchmark item that it contains.
 
-    doc_id, item_id, coverage (share of the item's words found in place; words in slots
-    count if the filling is consistent), n_slots, consistent, start_word. Items of fewer
-    than ``min_words`` words and null texts never match. Repeated rows count once; an empty
-    table on either side gives no rows; other columns are ignored.
+    doc_id, text_key (xxhash64 of the text), item_id, coverage (share of the item's words found
+    in place; words in slots count if the filling is consistent: different values of the item
+    stay different), n_slots, consistent, start_word. Items of fewer than ``min_words`` words
+    and null texts never match. A null id, of a document or an item, is an id like any other.
+    Rows that repeat id and text count once, as do items; the first of equal places is
+    reported; an empty table on either side gives no rows; other columns are ignored.
 
     A changed capitalised word at the start of a text, sentence or line counts if it is a
     name in both and no other name contradicts it. No match of a ``coverage`` of 0.7 or more
@@ -140,10 +144,12 @@ def find_leaks(
     few, _ = written(few, "candidates")
     few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
     # repeated rows give repeated words of an item, which are counted once; no text is shuffled while few are broadcast
-    texts = rows.withColumn("key", F.xxhash64("text")).join(few, ["doc_id", "key"])
-    texts = texts.select("doc_id", "hit", raw_words(F.col("text")).alias("doc_raw"), template_words(F.col("text")).alias("doc_words"), _marked(F.col("text")).alias("doc_marked"))
-    texts = texts.withColumn("hit", F.explode_outer("hit")).select("doc_id", "hit.*", "doc_raw", "doc_words", "doc_marked")
-    pairs = texts.join(F.broadcast(items) if items.count() <= ITEM_ROWS else items, "item_id")
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    texts = rows.join(few, (rows.key == few.key) & rows.doc_id.eqNullSafe(few.doc_id)).select(rows.doc_id, rows.key, "text", "hit")
+    texts = texts.select("doc_id", "key", "hit", raw_words(F.col("text")).alias("doc_raw"), template_words(F.col("text")).alias("doc_words"), _marked(F.col("text")).alias("doc_marked"))
+    texts = texts.withColumn("hit", F.explode_outer("hit")).select("doc_id", "key", "hit.*", "doc_raw", "doc_words", "doc_marked")
+    items = F.broadcast(items) if items.count() <= ITEM_ROWS else items
+    pairs = texts.join(items, texts.item_id.eqNullSafe(items.item_id)).drop(items.item_id)
     # the stretch of the document on the diagonal, word by word against the item
     now = lambda c, i: F.when(F.col("d") + i >= 0, F.get(c, F.col("d") + i))
     capital = lambda w: F.coalesce(F.startswith(w, F.lit(NAME)), F.lit(False))
@@ -160,8 +166,8 @@ def find_leaks(
     )
     same = lambda x: F.coalesce((x["was"] == x["now"]) | (x["slot"] == x["form"]), F.lit(False))
     agree = lambda rows: lambda x: F.forall(rows, lambda y: (x["was"] == y["was"]) == (x["now"] == y["now"]))
-    on = ["doc_id", "item_id", "d", "m"]
-    pairs = pairs.select("doc_id", "item_id", "d", F.size("raw").alias("m"), lined.alias("lined"))
+    on = ["doc_id", "key", "item_id", "d", "m"]
+    pairs = pairs.select("doc_id", "key", "item_id", "d", F.size("raw").alias("m"), lined.alias("lined"))
     pairs = pairs.select(
         *on,
         F.filter("lined", same).alias("met"),
@@ -179,7 +185,7 @@ def find_leaks(
     pairs, _ = written(pairs, "lined")
     in_row = F.exists("at", lambda i: F.forall(F.sequence(F.lit(1), F.lit(LINKED - 1)), lambda s: F.array_contains("at", i + s)))
     pairs = pairs.where(in_row | (F.size("at") / F.col("m") >= coverage)).select(*on, "consistent", "n_slots", F.explode("at").alias("i"))
-    found = pairs.groupBy("doc_id", "item_id", "m").agg(
+    found = pairs.groupBy("doc_id", F.col("key").alias("text_key"), "item_id", "m").agg(
         (F.countDistinct("i") / F.col("m")).alias("coverage"),
         F.max("n_slots").alias("n_slots"),
         F.max("consistent").alias("consistent"),
@@ -190,4 +196,4 @@ def find_leaks(
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_key")
