@@ -9,11 +9,15 @@ A batch is fingerprinted and written as a new immutable run, sorted by fingerpri
 sorted runs of earlier batches are merge-joined with it. Documents on either side of a
 hit then list all their windows with a shared fingerprint, under two independent 64-bit
 hashes of the whole word sequence, and a window goes if an earlier document holds the same.
-Once enough runs have gathered they are compacted into one.
+Once enough runs of a size have gathered they are compacted into one. A manifest lists the
+runs, so that another session can open the index and add to it.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import uuid
 from functools import partial
 
 import numpy as np
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelix.llm.scratch import new_path, remove, written
+from kestrelix.llm.scratch import drop_path, names_in, new_path, put_text, remove, tidy, written
 from kestrelix.llm.textops import Words, pieces, windows
 
 BROADCAST_ROWS = 1_000_000  # ids of 16 bytes
@@ -125,28 +129,61 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints, by batch; newer runs are smaller or equal."""
+    """Sorted immutable runs of fingerprints and of whole texts, listed in a manifest.
 
-    def __init__(self, spark, window: int = 50, fan_in: int = 4):
-        self.spark, self.window, self.fan_in = spark, window, fan_in
-        self.runs: list[str] = []
-        self.texts: list[str] = []
+    ``path`` names a folder of the shared store; an index that is there already is opened, in
+    any session, and goes on with its own ``window``. Without a path the index is kept in the
+    checkpoint folder. Runs are never changed. Whenever ``fan_in`` runs are of one tier, a tier
+    for each power of ``fan_in`` in rows, they are merged into one run of a higher tier; a new
+    manifest replaces the old one by its number, so that a broken addition leaves no trace.
+    """
 
-    def _write(self, df: DataFrame, key: str, name: str) -> str:
-        path = new_path(self.spark, name)
+    def __init__(self, spark, window: int = 50, fan_in: int = 4, path: str | None = None):
+        self.spark, self.window, self.fan_in = spark, window, max(2, fan_in)
+        self.path = (path or new_path(spark, "index")).rstrip("/")
+        self.runs: list[list] = []  # [folder, rows]
+        self.texts: list[list] = []
+        self.version = 0
+        for name in reversed(names_in(spark, f"{self.path}/manifests")):
+            try:
+                held = json.loads(spark.read.option("wholetext", "true").text(f"{self.path}/manifests/{name}").first()["value"])
+            except (ValueError, TypeError):  # cut off while it was written: the one before holds
+                continue
+            self.window, self.runs, self.texts, self.version = held["window"], held["runs"], held["texts"], held["version"]
+            break
+
+    def _commit(self) -> None:
+        self.version += 1
+        held = {"version": self.version, "window": self.window, "runs": self.runs, "texts": self.texts}
+        put_text(self.spark, f"{self.path}/manifests/{self.version:09d}-{uuid.uuid4().hex[:8]}.json", json.dumps(held))
+
+    def _write(self, df: DataFrame, key: str, name: str) -> list:
+        path = f"{self.path}/{name}/{uuid.uuid4().hex}"
         df.repartition(key).sortWithinPartitions(key).write.option("compression", "zstd").parquet(path)
-        return path
+        return [path, self.spark.read.parquet(path).count()]
 
-    def _read(self, paths: list[str]) -> DataFrame | None:
-        return self.spark.read.parquet(*paths) if paths else None
+    def _read(self, runs: list) -> DataFrame | None:
+        return self.spark.read.parquet(*[path for path, _ in runs]) if runs else None
 
-    def compact(self) -> None:
-        """Merges all runs into one sorted run."""
+    def compact(self, everything: bool = False) -> None:
+        """Merges runs of one tier where there are enough of them, or all runs."""
+        gone = []
         for name, key in (("runs", "fp"), ("texts", "text_key")):
-            paths = getattr(self, name)
-            if len(paths) > 1:
-                setattr(self, name, [self._write(self._read(paths), key, name)])
-                remove(self.spark, *paths)
+            while True:
+                tiers: dict[int, list] = {}
+                for run in getattr(self, name):
+                    tiers.setdefault(0 if everything else int(math.log(max(run[1], 1), self.fan_in)), []).append(run)
+                full = [t for t, runs in sorted(tiers.items()) if len(runs) >= (2 if everything else self.fan_in)]
+                if not full:
+                    break
+                merged = tiers[full[0]]
+                kept = [run for run in getattr(self, name) if run not in merged]
+                setattr(self, name, [*kept, self._write(self._read(merged), key, name)])
+                gone += merged
+        if gone:
+            self._commit()
+            for path, _ in gone:
+                drop_path(self.spark, path)
 
     def add(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Deduplicates a batch (doc_id, text) against earlier batches and itself.
@@ -155,7 +192,7 @@ class FingerprintIndex:
         the rows of the batches added so far, whose ids must all be smaller. A word goes
         if a window over it also starts in a document with a smaller id. Null texts have no
         words; rows with a null id are never changed nor a source; rows of one id do not
-        change each other.
+        change each other; other columns are ignored; an empty batch gives no rows.
         """
         rows = batch.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         shape = "doc_id long, n_words long, n_removed long, kept_text string"
@@ -178,15 +215,17 @@ class FingerprintIndex:
         copied = _few(copies)
         fresh = keyed.where("text is not null and doc_id is not null").join(copied, ["doc_id", "text_key"], "left_anti")
 
-        run = self._write(fresh.mapInArrow(partial(_fingerprints, window=self.window), "fp long, doc_id long, text_key long"), "fp", "run")
-        new = self.spark.read.parquet(run)
+        run = self._write(fresh.mapInArrow(partial(_fingerprints, window=self.window), "fp long, doc_id long, text_key long"), "fp", "runs")
+        new = self.spark.read.parquet(run[0])
         spans = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         inside = spans.where("lo < hi").select("fp")
         old = self._read(self.runs)
         if old is None:
             hits = new.join(inside, "fp", "left_semi")
         else:
-            old, _ = written(old.join(new.select("fp"), "fp", "left_semi"), "old-hits")
+            # a batch that is small beside the history travels to it, and the history stays where it is
+            asked = new.select("fp").distinct() if run[1] <= BROADCAST_ROWS else new.select("fp")
+            old, _ = written(old.join(F.broadcast(asked) if run[1] <= BROADCAST_ROWS else asked, "fp", "left_semi"), "old-hits")
             hits = new.join(inside.union(old.select("fp")).distinct(), "fp", "left_semi").unionByName(old)
         candidates, candidates_path = written(hits.groupBy("doc_id", "text_key").agg(F.collect_set("fp").alias("fps")), "candidates")
 
@@ -213,11 +252,12 @@ class FingerprintIndex:
         self.runs.append(run)
         self.texts.append(self._write(first.select("text_key", "md5", F.col("least").alias("known")), "text_key", "texts"))
         remove(self.spark, first_path)
-        if len(self.runs) >= self.fan_in:
-            self.compact()
+        self._commit()
+        self.compact()
         return listed.unionByName(whole).unionByName(rest)
 
 
+@tidy
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, batches: int = 2) -> DataFrame:
     """All rows of a table, fed to a fresh index in ``batches`` ranges of the id.
 
@@ -227,7 +267,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
-    index = FingerprintIndex(docs.sparkSession, window, fan_in=max(2, batches))
+    index = FingerprintIndex(docs.sparkSession, window)
     out = None
     at = F.col("doc_id")
     for i in range(len(cuts) + 1):
@@ -240,6 +280,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             part = part | at.isNull()
         done = index.add(rows.where(part), rows.where(at <= cuts[i - 1]) if i else None)
         out = done if out is None else out.unionByName(done)
+    drop_path(docs.sparkSession, index.path)  # nothing reads this index again
     return out
 
 
