@@ -11,7 +11,8 @@ Documents meet that table in a join with split hot keys: the ``HOT`` commonest n
 fixed number of 12 bytes each) are broadcast and summed where the text is; the others leave
 the pass as (row, n-gram, count) and are joined with the sharded table. As the commonest are
 gone, no key of that join holds more than one in HOT of all positions. A text is rejected if
-its perplexity exceeds a quantile of the trusted texts of its language.
+its perplexity exceeds a quantile of trusted texts of its language that the model has not
+seen: one in HELD, chosen by a hash of the text, so that copies go together.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ LABEL_ROWS = 1_000_000  # of 8 bytes, broadcast up to here
 START = 10  # before a text stand ORDER - 1 line breaks
 PIECE = 1 << 20  # bytes of text at once
 MERGE = 3 << 20  # n-grams gathered before they are merged
+HELD = 4  # one in so many trusted texts only sets the thresholds
 GRADES = 32  # grades of frequency for each doubling
 
 
@@ -206,6 +208,11 @@ def _hot(resolved: DataFrame, most: int) -> DataFrame:
     return graded.where(F.lit(False) if least is None else F.col("grade") >= least).select("g", "lp")
 
 
+def held_back(text):
+    """Marks the trusted texts that set the thresholds and train nothing."""
+    return F.pmod(F.xxhash64(F.lit("held"), text), F.lit(HELD)) == 0
+
+
 @tidy
 def score_quality(
     docs: DataFrame,
@@ -216,15 +223,17 @@ def score_quality(
     quantile: float = 0.995,
     slack: float = 1.05,
     prior: int = 40,
+    least: int = 20,
     hot: int = HOT,
 ) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, steadied, threshold, keep for every row.
+    """doc_id, text_key (xxhash64 of the text), lang, n_bytes, perplexity, steadied, threshold, keep for every row.
 
     Trusted texts are those whose id ``labels`` (doc_id, quality, toxic) gives quality 1 and
     toxic 0 in some row and nothing else in another; a null id is never trusted. The threshold
-    of a language is ``slack`` times the ``quantile`` of its trusted, steadied perplexities; a
-    language without trusted text (a null one is a language of its own) takes the largest
-    threshold. A null or empty text has no perplexity and is kept; without any trusted text
+    of a language is ``slack`` times the ``quantile`` of the steadied perplexities of its held
+    back texts, of those of all languages if it has fewer than ``least`` (of all trusted texts
+    if none is held back); a language without any (a null one is a language of its own) takes
+    the largest threshold. A null or empty text has no perplexity and is kept; without any trusted text
     everything is kept. Rows with a null id are scored like any others, repeated rows are
     answered once each, ties in frequency change nothing (``hot`` only decides where an n-gram
     is looked up); an empty table gives no rows; other columns are ignored.
@@ -233,25 +242,25 @@ def score_quality(
     good = labels.groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good")).where("good = 1 and doc_id is not null")
     good, _ = written(good.select("doc_id"), "trusted")
     good = F.broadcast(good) if good.count() <= LABEL_ROWS else good
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    marked = rows.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), held_back(F.col(text_col)).alias("held"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
+    marked = rows.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").select("text", (F.coalesce("trusted", F.lit(False)) & ~held_back(F.col("text"))).alias("trusted"))
     grams = marked.where("text <> ''").mapInArrow(_count, "g long, n long, c long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     grams, _ = written(grams, "grams")
     trained = grams.where("c > 0").select("g", "c")
     if not trained.limit(1).count():
         none = F.lit(None).cast("double")
-        return rows.select("doc_id", F.nullif("lang", F.lit("")).alias("lang"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), none.alias("perplexity"), none.alias("steadied"), none.alias("threshold"), F.lit(True).alias("keep"))
+        return rows.select("doc_id", "text_key", F.nullif("lang", F.lit("")).alias("lang"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), none.alias("perplexity"), none.alias("steadied"), none.alias("threshold"), F.lit(True).alias("keep"))
     resolved, _ = written(resolve(grams.select("g", "n"), *kneser_ney(trained)), "resolved")
     top = _hot(resolved, hot).toArrow()  # at most ``hot`` rows of 16 bytes
     shared = spark.sparkContext.broadcast((top["g"].to_numpy(), top["lp"].to_numpy().astype(np.float32)))
     kind = dict(rows.dtypes)["doc_id"]
     summed, summed_path = written(
-        rows.mapInArrow(lambda batches: _score(batches, shared), f"doc_id {kind}, lang string, n_bytes long, hot double, g array<long>, k array<long>").withColumn("u_", F.monotonically_increasing_id()), "summed"
+        rows.mapInArrow(lambda batches: _score(batches, shared), f"doc_id {kind}, text_key long, held boolean, lang string, n_bytes long, hot double, g array<long>, k array<long>").withColumn("u_", F.monotonically_increasing_id()), "summed"
     )
     rare = summed.where("size(g) > 0").select("u_", F.explode(F.arrays_zip("g", "k")).alias("x")).select("u_", "x.g", "x.k")
     rare = rare.join(resolved.select("g", "lp"), "g").groupBy("u_").agg(F.sum(F.col("k") * F.col("lp")).alias("rare"))
     ppl = F.when(F.col("n_bytes") > 0, F.exp(-(F.col("hot") + F.coalesce("rare", F.lit(0.0))) / F.col("n_bytes")))
-    scored, _ = written(summed.drop("g", "k").join(rare, "u_", "left").select("doc_id", "lang", "n_bytes", ppl.alias("perplexity")), "scored")
+    scored, _ = written(summed.drop("g", "k").join(rare, "u_", "left").select("doc_id", "text_key", "held", "lang", "n_bytes", ppl.alias("perplexity")), "scored")
     remove(spark, summed_path)
     # short texts say little: a prior worth ``prior`` bytes at the mean of their language steadies them
     own = scored.join(good, "doc_id", "left_semi").where("perplexity is not null")
@@ -260,11 +269,15 @@ def score_quality(
     per_lang = lambda x: F.create_map(*[F.lit(v) for kv in sorted(x.items()) for v in kv])[F.col("lang")]
     mean = F.coalesce(per_lang(means), F.lit(max(means.values())))
     steady = F.exp((bits + prior * mean) / (F.col("n_bytes") + prior))
-    limits = own.groupBy("lang").agg((F.percentile_approx(steady, quantile, 10_000) * slack).alias("threshold"))
-    limits = {r["lang"]: r["threshold"] for r in limits.collect()}  # a row for each language
-    cut = F.coalesce(per_lang(limits), F.lit(max(limits.values())))
+    among = lambda x: F.percentile_approx(x, quantile, 10_000)
+    judged = own.where("held") if own.where("held").limit(1).count() else own
+    every = judged.agg(among(steady).alias("t")).first()["t"]
+    found = judged.groupBy("lang").agg(among(steady).alias("t"), F.count("*").alias("n")).collect()  # a row for each language
+    limits = {r["lang"]: (r["t"] if r["n"] >= least else every) * slack for r in found}
+    cut = F.coalesce(per_lang(limits), F.lit(max([every * slack, *limits.values()])))
     return scored.select(
         "doc_id",
+        "text_key",
         F.nullif("lang", F.lit("")).alias("lang"),
         "n_bytes",
         "perplexity",
@@ -276,4 +289,4 @@ def score_quality(
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_key")
