@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrelix.llm.scratch import written
+from kestrelix.llm.scratch import tidy, written
 
 MIN_WORDS = 8
 BROADCAST_ROWS = 1_000_000
@@ -93,6 +93,7 @@ def _near(lines: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
     return pairs.where(without(F.col("w"), F.col("p")) == without(F.col("x"), F.col("q"))).select("h1", "h2").distinct()
 
 
+@tidy
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, carry: tuple = ()) -> DataFrame:
     """doc_id, kept_text, n_lines, n_removed and the struct ``carried`` for every row.
 

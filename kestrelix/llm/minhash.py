@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrelix.llm.components import components
-from kestrelix.llm.scratch import written
+from kestrelix.llm.scratch import tidy, written
 from kestrelix.llm.textops import Words, mix, pieces, windows
 
 SLOTS = 127  # prime, so that a * rank + b runs through all slots
@@ -110,8 +110,8 @@ def _sign(batches, width: int):
             keys = band_keys(signatures(elements, bound)).view(np.int64)
             offsets = pa.array(np.arange(0, len(keys) * BANDS + 1, BANDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(bound)), pa.array(one), pa.array(two), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
-                names=["doc_id", "n_shingles", "key1", "key2", "bands"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(np.diff(bound)), pa.array(one), pa.array(two), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
+                names=["doc_id", "text_key", "n_shingles", "key1", "key2", "bands"],
             )
 
 
@@ -214,8 +214,9 @@ def _linked(tasks: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.mapInArrow(partial(_confirm, width=width, percent=percent), "a long, b long")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+    """doc_id, text_key (xxhash64 of the text), n_shingles, component_id, kept for every row.
 
     Words are runs outside white space with A-Z lower-cased; the set of a text holds its
     distinct ``width``-word shingles, for a shorter text its whole word sequence. Texts with
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sig, _ = written(
-        rows.mapInArrow(partial(_sign, width=width), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "signatures"
+        rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(partial(_sign, width=width), "doc_id long, text_key long, n_shingles long, key1 long, key2 long, bands array<long>"), "signatures"
     )
     usable = sig.where("n_shingles > 0 and doc_id is not null")
     sets = usable.groupBy("key1", "key2", "n_shingles").agg(
@@ -264,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sig.drop("bands").join(joined, ["key1", "key2", "n_shingles"], "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _large(texts: DataFrame, large: DataFrame, width: int, percent: int) -> DataFrame:
@@ -306,4 +307,4 @@ def _large(texts: DataFrame, large: DataFrame, width: int, percent: int) -> Data
 
 
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")

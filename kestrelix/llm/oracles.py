@@ -37,20 +37,22 @@ OP7_SQL = rf"""
 WITH g AS (SELECT * FROM (VALUES {_grams()}) t(label, base, k, o, total, a, b, c)),
 t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 placed AS (SELECT doc_id, i - 1 AS p, w[i] AS w0, w[i + 1] AS w1, w[i + 2] AS w2 FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
-v AS (SELECT doc_id, label, base, total, p - o AS d, count(*) AS votes FROM placed JOIN g ON w0 = a AND w1 = b AND (k = 2 OR w2 = c) GROUP BY ALL),
-r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, label, base ORDER BY d ROWS UNBOUNDED PRECEDING) AS run FROM (
-  SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY doc_id, label, base ORDER BY d) <= 2 THEN 0 ELSE 1 END AS new FROM v)),
-s AS (SELECT doc_id, label, base, least(1.0::DOUBLE, sum(votes) / any_value(total)) AS share, count(*) FILTER (WHERE base AND votes = total) AS places,
-  min(d) FILTER (WHERE base AND votes = total) AS first, max(d) FILTER (WHERE base AND votes = total) AS last FROM r GROUP BY doc_id, label, base, run),
+h AS (SELECT doc_id, label, base, total, k, o, p, p - o AS d FROM placed JOIN g ON w0 = a AND w1 = b AND (k = 2 OR w2 = c)),
+n AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY doc_id, label, base ORDER BY d, o) <= 2 THEN 0 ELSE 1 END AS new, count(*) OVER (PARTITION BY doc_id, label, base, d) AS votes FROM h),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, label, base ORDER BY d, o ROWS UNBOUNDED PRECEDING) AS run FROM n),
+q AS (SELECT *, o - max(o) OVER (PARTITION BY doc_id, label, base, run ORDER BY p, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS behind, base AND votes = total AND o = 0 AS start FROM r),
+s AS (SELECT doc_id, label, base, count(*) FILTER (coalesce(behind, 1) > 0)::DOUBLE / any_value(total) AS share, sum(least(k, coalesce(behind, k))) FILTER (coalesce(behind, 1) > 0) AS own,
+  max(p + k) FILTER (coalesce(behind, 1) > 0) - min(p) FILTER (coalesce(behind, 1) > 0) AS reach,
+  count(*) FILTER (start) AS places, min(d) FILTER (start) AS first, max(d) FILTER (start) AS last FROM q GROUP BY doc_id, label, base, run),
 x AS (SELECT doc_id, sum(places) AS n_base, min(first) AS first_word, max(last) AS last_word,
   array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base AND places > 0)), ',') AS base_labels,
-  array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE CASE WHEN base THEN places > 0 ELSE share >= 0.75 END)), ',') AS labels, max(share) AS score FROM s GROUP BY 1)
+  array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE CASE WHEN base THEN places > 0 ELSE share >= 0.75 AND own >= 0.75 * reach END)), ',') AS labels, max(share) AS score FROM s GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM t LEFT JOIN x USING (doc_id)
 """
 
 OP8_SQL = f"""
-WITH l AS (SELECT doc_id, k, x[k] AS raw, trim(x[k], {_BLANK}) AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
+WITH l AS (SELECT doc_id, k, x[k] AS raw, trim(x[k], {_BLANK}) AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))),
 d AS (SELECT line, min((doc_id, k)) AS f, any_value(regexp_extract_all(line, {_SPLIT})) AS w FROM l WHERE line <> '' GROUP BY 1),
 s AS (SELECT line, f, w, array_to_string(w, ' ') AS v FROM d),
 del AS (SELECT line, f, p, array_to_string(list_concat(w[1:p], w[p + 2:]), ' ') AS v FROM (SELECT line, f, w, unnest(range(len(w))) AS p FROM s WHERE len(w) >= 8)),
@@ -60,6 +62,7 @@ near AS (SELECT line FROM del JOIN e USING (v, p) WHERE m < f
   UNION SELECT s.line FROM s JOIN (SELECT v, min(f) AS m FROM del GROUP BY 1) USING (v) WHERE m < f),
 k AS (SELECT l.doc_id, l.k, l.raw, l.line = '' OR (d.f = (l.doc_id, l.k) AND near.line IS NULL) AS keep FROM l LEFT JOIN d ON d.line = l.line LEFT JOIN near ON near.line = l.line)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT keep) AS n_removed, sha256(coalesce(string_agg(raw, chr(10) ORDER BY k) FILTER (WHERE keep), '')) AS kept_sha256 FROM k GROUP BY 1
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
 OP9_SQL = f"""

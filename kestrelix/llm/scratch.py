@@ -60,6 +60,28 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, s
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file in the store of ``path``; an existing one is an error."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, False)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder, none if it does not exist."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes tables of :func:`written` that no later plan reads."""
     jvm = spark.sparkContext._jvm

@@ -143,12 +143,21 @@ def test_packing_of_added_tokens(spark):
     assert next(r["ids_crc32"] for r in rows if r["doc_id"] == 0) == zlib.crc32(hello.tobytes())
 
 
-def test_chunked_ids_equal_whole_ids():
+def test_batches_of_chunks_equal_whole_texts():
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     tok = packing.ChunkTokenizer(*packing.default_vocabulary())
+    true = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(3)
-    for _ in range(300):
-        text = "".join(rng.choice(["ab", "é", " ", "  ", "\n", " \n", "\t", "12", "'s", "!", " ", "日"]) for _ in range(rng.randrange(40)))
-        assert np.frombuffer(tok.ids(text), np.uint32).tolist() == tok.encode(text), repr(text)
+    parts = ["ab", "é", " ", " ", " ", "  ", "\n", " \n", "\t", "12", "'s", "!", "日", "à", "\u00a0", "\u3000", "word", "<|endoftext|>", "\x1f", "\u2028"]
+    for size in (1, 7, 400):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(size)] + ["", None, " ", "x ", " x", "a b a b"]
+        ids, bound = tok.batch(pa.array(texts), 2)
+        for i, t in enumerate(texts):
+            assert ids[bound[i] : bound[i + 1]].tolist() == true.encode(t or "", add_special_tokens=False).ids + [2], repr(t)
+    assert tok.batch(pa.array([], pa.string()), 2)[1].tolist() == [0]
 
 
 # -- exact top-k
@@ -338,7 +347,7 @@ def test_leaks(spark, odd, none):
     ]
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts], SCHEMA)
     rows = find_leaks(docs, benchmark(spark, items)).collect()
-    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(0, 0), (1, 1), (3, 6), (4, 2), (4, 3)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(0, 0), (1, 1), (3, 6), (4, 2), (4, 2), (4, 3), (4, 3)]  # two texts under one id
     assert all(r["consistent"] for r in rows)
     assert find_leaks(odd, benchmark(spark, items)).count() == 0
     assert find_leaks(none, benchmark(spark, items)).count() == 0
@@ -397,7 +406,9 @@ def test_quality(spark, docs, odd, none, hot):
     judged = labels(spark, [(r["doc_id"], int(r["doc_id"] % 2 == 0), 0) for r in rows])
     noise = spark.createDataFrame([(1000, "%$ #@! ZZZ ||| %%% QQQ" * 5, "en", "a", 0), (1001, None, "en", "a", 0), (1002, "", None, "a", 0)], SCHEMA)
     got = {r["doc_id"]: r for r in quality.score_quality(docs.unionByName(noise), judged, hot=hot).collect()}
-    model = brute_model([r["text"] for r in rows if r["doc_id"] % 2 == 0])
+    held = {r["doc_id"] for r in docs.where(quality.held_back("text")).collect()}
+    assert 5 < len(held) < 30
+    model = brute_model([r["text"] for r in rows if r["doc_id"] % 2 == 0 and r["doc_id"] not in held])
     for r in rows[:12]:
         assert got[r["doc_id"]]["perplexity"] == pytest.approx(model(r["text"]), rel=1e-4)
     assert got[1000]["perplexity"] == pytest.approx(model("%$ #@! ZZZ ||| %%% QQQ" * 5), rel=1e-4)
@@ -451,6 +462,25 @@ def test_licenses(spark, docs, odd, none):
     assert scan_licenses(docs).count() == docs.count() and scan_licenses(odd).count() == 11 and scan_licenses(none).count() == 0
 
 
+def test_license_spans_are_verified(spark):
+    notice = " ".join(f"word{i}" for i in range(40))
+    words = notice.split(" ")
+    texts = [
+        f"so {notice} end",
+        "so " + " ".join(words[:20] + ["put", "in"] + words[20:]),  # two words put in
+        "so " + " ".join(words[:20] + ["put"] * 60 + words[20:]),  # two halves far apart
+        " ".join(" ".join(words[:3]) for _ in range(40)),  # one n-gram again and again
+        " ".join(" ".join(words[i : i + 3]) for i in reversed(range(38))),  # all n-grams, the wrong way round
+        " ".join(words[:20]),
+    ]
+    table = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    for extra in ([("own", notice)], spark.createDataFrame([("own", notice), ("none", None)], "label string, text string")):
+        got = {r["doc_id"]: r for r in scan_licenses(table, extra=extra).collect()}
+        assert [got[i]["labels"] for i in range(6)] == ["own", "own", "", "", "", ""]
+        assert [tuple(x) for x in got[0]["spans"]] == [("own", 1, 40, 1.0)]
+        assert [tuple(x)[:3] for x in got[1]["spans"]] == [("own", 1, 42)] and got[1]["spans"][0]["share"] == pytest.approx(36 / 38)
+
+
 # -- lines
 
 
@@ -533,12 +563,23 @@ def test_passages_awkward(odd, none):
     assert dedup_substrings(none).count() == 0
 
 
-def test_index_compacts(spark, docs):
-    index = FingerprintIndex(spark, fan_in=2)
-    a, b = docs.where("doc_id < 30"), docs.where("doc_id >= 30")
-    index.add(a).count()
-    index.add(b, a).count()
-    assert len(index.runs) == len(index.texts) == 1
+def test_index_goes_on_in_another_session(spark, docs, tmp_path):
+    """Three batches, each with an index opened anew, give what one table gives; runs are merged by size."""
+    path, got, least = f"file://{tmp_path}/index", {}, 0
+    for most in (20, 40, 60):
+        part, before = docs.where(f"doc_id >= {least} and doc_id < {most}"), docs.where(f"doc_id < {least}")
+        index = FingerprintIndex(spark.newSession(), fan_in=2, path=path)
+        assert index.version == 0 if not least else index.version > 0
+        for r in index.add(part, before if least else None).collect():
+            got[r["doc_id"]] = (r["n_words"], r["n_removed"], r["kept_text"])
+        least = most
+    assert got == brute_passages([(r["doc_id"], r["text"]) for r in docs.collect()])
+    index.compact(everything=True)
+    again = FingerprintIndex(spark, path=path)
+    assert len(again.runs) == len(again.texts) == 1 and again.version == index.version
+    assert sorted(os.path.basename(p) for p, _ in again.runs) == os.listdir(tmp_path / "index" / "runs")
+    (tmp_path / "index" / "manifests" / "999999999-cut.json").write_text('{"version": 9')
+    assert FingerprintIndex(spark, path=path).version == again.version
 
 
 # -- languages
