@@ -107,12 +107,15 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[dict[int, DataFra
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
         tables[k], _ = written(tables[k + 1].groupBy(_suffix(F.col("g"), k).alias("g")).agg(F.count("*").alias("c")), f"counts-{k}")
+    of = [F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    seen = None
+    for k, table in tables.items():
+        row = table.agg(*of).withColumn("k", F.lit(k))
+        seen = row if seen is None else seen.unionByName(row)
+    seen = {r["k"]: discounts(*(r[f"n{i}"] for i in (1, 2, 3, 4))) for r in seen.collect()}  # a row for each order
     probabilities, weights = {}, {}
     for k in range(1, order + 1):
-        table = tables[k]
-        of = [F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        seen = table.agg(*of).first()
-        d = discounts(*(seen[f"n{i}"] for i in (1, 2, 3, 4)))
+        table, d = tables[k], seen[k]
         off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         rows = table.withColumn("ctx", F.shiftright("g", BITS)).withColumn("off", off)
         context = rows.groupBy("ctx").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("w"))
