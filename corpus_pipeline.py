@@ -15,7 +15,7 @@ from kestrelix.llm.line_dedup import dedup_lines
 from kestrelix.llm.minhash import near_duplicates
 from kestrelix.llm.packing import packed_digest
 from kestrelix.llm.quality import score_quality
-from kestrelix.llm.scratch import remove, written
+from kestrelix.llm.scratch import paths_read, remove, tidy, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BROADCAST_ROWS = 1_000_000  # ids and keys of 16 bytes
@@ -90,11 +90,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@tidy
+def _done(docs: DataFrame, name: str, stage, spark, sf_dir: str) -> DataFrame:
+    """A stage's result, written; all tables it made on the way go."""
+    return written(stage(spark, docs, sf_dir), name)[0]
+
+
 def run(spark, sf_dir: str) -> DataFrame:
-    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    """Pieces of the documents that pass all stages; an empty table of documents gives no rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made: list[str] = []
     for name, stage in STAGES[:-1]:
-        done, new = written(stage(spark, docs, sf_dir), name)
-        if path:
-            remove(spark, path)
-        docs, path = done, new
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = _done(docs, name, stage, spark, sf_dir)
+        remove(spark, *made)
+        made = paths_read(docs)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    if not set(made) & set(paths_read(packed)):
+        remove(spark, *made)
+    return packed
