@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrelix.llm.scratch import tidy, written
-from kestrelix.llm.textops import pieces, span_hashes, text_buffer
+from kestrelix.llm.textops import pieces, release, span_hashes, text_buffer
 
 BROADCAST_ROWS = 2_000_000  # of 20 bytes: at most 40 MB
 PIECE = 2 << 20  # bytes of text whose chunks are encoded together
@@ -223,6 +223,7 @@ def _tokenise(batches, ranks_path: str, pattern: str, added: dict[str, int], end
                 ],
                 names=["doc_id", "piece", "start", "length", "ids", "nth", "part"],
             )
+    release()
 
 
 @tidy

@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrelix.llm.scratch import remove, tidy, written
-from kestrelix.llm.textops import mix, pieces, text_buffer
+from kestrelix.llm.textops import mix, pieces, release, text_buffer
 
 ORDER, BITS = 6, 8
 HOT = 1 << 20
 LABEL_ROWS = 1_000_000  # of 8 bytes, broadcast up to here
 START = 10  # before a text stand ORDER - 1 line breaks
 PIECE = 1 << 20  # bytes of text at once
-MERGE = 3 << 20  # n-grams gathered before they are merged
+MERGE = 2 << 20  # n-grams gathered before they are merged
 HELD = 4  # one in so many trusted texts only sets the thresholds
 GRADES = 32  # grades of frequency for each doubling
 
@@ -78,7 +78,11 @@ def _count(batches):
                 if len(k) > MERGE:  # a partition of very many: sent on, the sum by key follows
                     yield from _count_rows(k, c)
                     keys, counts = [], []
-    yield from _count_rows(*_merged(keys, counts))
+    k, c = _merged(keys, counts)
+    del keys, counts
+    yield from _count_rows(k, c)
+    del k, c
+    release()
 
 
 def _count_rows(k: np.ndarray, c: np.ndarray):
@@ -155,7 +159,7 @@ class HotTable:
     """Log probabilities of a fixed set of n-grams: one slot a hash, the rest in a sorted list."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys)).bit_length() + 1)
+        self.bits = max(4, int(len(keys)).bit_length())
         self.key, self.value = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
         at = self._slot(keys)
         self.key[at], self.value[at] = keys, values
@@ -197,6 +201,8 @@ def _score(batches, shared):
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(sizes), pa.array(total[bound[1:]] - total[bound[:-1]]), *lists], names=[*kept, "n_bytes", "hot", "g", "k"]
             )
+    del table, keys, values
+    release()
 
 
 def _hot(resolved: DataFrame, most: int) -> DataFrame:

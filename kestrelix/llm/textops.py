@@ -6,6 +6,8 @@ end, computed for a whole batch with prefix sums: no Python step per word.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -177,6 +179,15 @@ def windows(hashes: np.ndarray, k: int, base: int = _STEP) -> np.ndarray:
     return mix(out)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and so would their heaps."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it has its own ways
+        pass
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Slices of a batch whose texts have about ``most`` bytes together."""
     col = batch.column(column)
