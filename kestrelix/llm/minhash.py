@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kestrelix.llm.components import components
 from kestrelix.llm.scratch import tidy, written
-from kestrelix.llm.textops import Words, mix, pieces, windows
+from kestrelix.llm.textops import Words, mix, pieces, release, windows
 
 SLOTS = 127  # prime, so that a * rank + b runs through all slots
 ROWS, BANDS = 5, 25
@@ -113,6 +113,7 @@ def _sign(batches, width: int):
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(np.diff(bound)), pa.array(one), pa.array(two), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
                 names=["doc_id", "text_key", "n_shingles", "key1", "key2", "bands"],
             )
+    release()
 
 
 class Forest:
@@ -201,6 +202,7 @@ def _confirm(batches, width: int, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINKS)
             a, b = [], []
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINKS)
+    release()
 
 
 def _with_text(texts: DataFrame, members: DataFrame) -> DataFrame:

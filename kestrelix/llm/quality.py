@@ -29,8 +29,8 @@ ORDER, BITS = 6, 8
 HOT = 1 << 20
 LABEL_ROWS = 1_000_000  # of 8 bytes, broadcast up to here
 START = 10  # before a text stand ORDER - 1 line breaks
-PIECE = 1 << 20  # bytes of text at once
-MERGE = 2 << 20  # n-grams gathered before they are merged
+PIECE = 1 << 19  # bytes of text at once
+MERGE = 2 << 20  # n-grams that a task holds
 HELD = 4  # one in so many trusted texts only sets the thresholds
 GRADES = 32  # grades of frequency for each doubling
 
@@ -50,45 +50,54 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code[at - pad] if len(buf) else np.zeros(0, np.int64), np.diff(offsets), offsets
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order with their summed counts."""
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(c, first, axis=0) if len(k) else c
+def _merge(runs: list[tuple[np.ndarray, ...]], few: int) -> None:
+    """Merges the last runs (keys in order, and their counts) until ``few`` are left, each pair into one."""
+    while len(runs) > few:
+        (a, *have), (b, *more) = runs[-2:]
+        del runs[-2:]
+        k = np.concatenate([a, b])
+        del a, b
+        order = np.argsort(k, kind="stable")
+        k = k[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        k = k[first]
+        for i in range(len(have)):  # one column at a time
+            c = np.concatenate([have[i], more[i]])
+            have[i] = more[i] = None
+            have[i] = np.add.reduceat(c[order], first) if len(k) else c
+        runs.append((k, *have))
 
 
 def _count(batches):
-    """(g, n, c): distinct n-grams of a partition, their places and those in trusted texts."""
-    keys, counts, held = [], [], 0
+    """(g, n, c): distinct n-grams of a partition, their places and those in trusted texts.
+
+    The runs of the pieces are merged as soon as two have a similar length, so little more is
+    held than the distinct n-grams.
+    """
+    runs: list[tuple[np.ndarray, ...]] = []
     for whole in batches:
         for batch in pieces(whole, "text", PIECE):
             code, sizes, _ = symbols(batch.column("text"))
             trusted = np.repeat(batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool), sizes)
-            for part, good in ((code[trusted], 1), (code[~trusted], 0)):
-                k, n = np.unique(part, return_counts=True)
-                keys.append(k), counts.append(np.stack([n, good * n], axis=1))
-                held += len(k)
-            if held > MERGE:
-                k, c = _merged(keys, counts)
-                keys, counts, held = [k], [c], 0
-                if len(k) > MERGE:  # a partition of very many: sent on, the sum by key follows
-                    yield from _count_rows(k, c)
-                    keys, counts = [], []
-    k, c = _merged(keys, counts)
-    del keys, counts
-    yield from _count_rows(k, c)
-    del k, c
+            for good in (True, False):
+                k, n = np.unique(code[trusted == good], return_counts=True)
+                runs.append((k, n, n if good else np.zeros_like(n)))
+            del code, trusted, k, n
+            while len(runs) > 1 and len(runs[-2][0]) < 2 * len(runs[-1][0]):
+                _merge(runs, len(runs) - 1)
+            if sum(len(r[0]) for r in runs) > MERGE:
+                _merge(runs, 1)
+                if len(runs[0][0]) > MERGE // 2:  # a partition of very many: sent on, the sum by key follows
+                    yield from _count_rows(*runs.pop())
+    _merge(runs, 1)
+    if runs:
+        yield from _count_rows(*runs.pop())
     release()
 
 
-def _count_rows(k: np.ndarray, c: np.ndarray):
-    for at in range(0, len(k), 100_000):
-        to = at + 100_000
-        yield pa.RecordBatch.from_arrays([pa.array(k[at:to]), pa.array(c[at:to, 0]), pa.array(c[at:to, 1])], names=["g", "n", "c"])
+def _count_rows(*columns: np.ndarray):
+    for at in range(0, len(columns[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["g", "n", "c"])
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:

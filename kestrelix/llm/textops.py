@@ -142,21 +142,29 @@ class Words:
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the bytes start:end of each span of ``buf``."""
-    out = []
-    for table, base in ((_BYTE, _BASE), (_BYTE_2, _STEP)):
-        up, down = powers(base, len(buf) + 1)
-        total = np.empty(len(buf) + 1, np.uint64)
-        total[0] = 0
-        values = table[buf]
-        values *= up[: len(buf)]
-        np.cumsum(values, out=total[1:])
-        h = total[end]
-        h -= total[start]
-        h *= down[start]
-        h ^= (end - start).astype(np.uint64)
-        out.append(mix(h))
-    return out[0], out[1]
+    """Two independent 64-bit hashes of the bytes start:end of each span of ``buf``; starts and
+    ends ascend."""
+    out = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        at = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, at + SEGMENT, "right")))
+        s, e = start[i:j] - at, end[i:j] - at
+        part = buf[at : at + int(e[-1])]
+        for h, table, base in zip(out, (_BYTE, _BYTE_2), (_BASE, _STEP)):
+            up, down = powers(base, len(part) + 1)
+            total = np.empty(len(part) + 1, np.uint64)
+            total[0] = 0
+            values = table[part]
+            values *= up[: len(part)]
+            np.cumsum(values, out=total[1:])
+            x = total[e]
+            x -= total[s]
+            x *= down[s]
+            x ^= (e - s).astype(np.uint64)
+            h[i:j] = mix(x)
+        i = j
+    return out
 
 
 def windows(hashes: np.ndarray, k: int, base: int = _STEP) -> np.ndarray:
@@ -180,7 +188,8 @@ def windows(hashes: np.ndarray, k: int, base: int = _STEP) -> np.ndarray:
 
 
 def release() -> None:
-    """Gives freed memory back to the system: workers outlive their tasks, and so would their heaps."""
+    """Gives memory back to the system: workers outlive their tasks, and so would their heaps and tables."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
