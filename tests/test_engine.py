@@ -159,6 +159,25 @@ def test_latent_vectors_keep_neighbours(spark):
     assert v[0] @ v[1] > 0.9 and abs(v[0] @ v[2]) < 0.1
 
 
+def test_weights_stay_with_their_documents(spark, monkeypatch):
+    """Many groups, repeated and null ids, null texts: right weights, and no shuffle by term or document of the matrix."""
+    monkeypatch.setattr(lsi, "GROUP_CHARS", 20)
+    texts = [(0, "red shoe red"), (1, "blue kettle"), (1, "red kettle"), (None, "blue shoe"), (2, None), (3, ""), *[(i, f"red w{i}") for i in range(4, 30)]]
+    weights = lsi.tfidf(spark.createDataFrame(texts, "doc_id long, text string"))
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and "Exchange" in plan
+    tf = {}
+    for d, text in texts:
+        w = (text or "").split()
+        for t in [*w, *map(" ".join, zip(w, w[1:]))]:
+            tf[d, t] = tf.get((d, t), 0) + 1
+    df = {t: sum(x == t for _, x in tf) for _, t in tf}
+    raw = {(d, t): (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + df[t])) + 1) for (d, t), n in tf.items()}
+    norm = {d: sum(w * w for (x, _), w in raw.items() if x == d) ** 0.5 for d, _ in raw}
+    got = {(d, t): w for d, t, w in rows(weights)}
+    assert got.keys() == raw.keys() and all(got[k] == pytest.approx(raw[k] / norm[k[0]]) for k in raw)
+
+
 def test_latent_model_is_the_truncated_decomposition(spark):
     """Against numpy on the whole matrix: singular values, subspace, and encoded documents."""
     rng = random.Random(5)
