@@ -206,6 +206,17 @@ def test_latent_model_is_the_truncated_decomposition(spark):
         assert np.allclose(got[i], want[i] / np.linalg.norm(want[i]), atol=1e-5)
 
 
+def test_latent_model_in_slices(spark, monkeypatch):
+    """Few columns travel at once; the fitted documents have the vectors that encoding gives, repeated and empty ones too."""
+    monkeypatch.setattr(lsi, "SLICE_CELLS", 100)
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choices([f"t{i % 3}w{j}" for j in range(5)], k=9))) for i in range(30)] + [(30, ""), (31, None), (5, "t0w1 t0w2")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = lsi.LatentModel(dim=4, more=3).fit_texts(docs)
+    got, want = (sorted((r["doc_id"], *r["v"]) for r in df.collect()) for df in (model.documents(docs), model.encode(lsi.tfidf(docs), docs)))
+    assert len(got) == 33 and np.allclose(got, want, atol=1e-5)
+
+
 def test_latent_model_of_few_documents(spark):
     """Fewer documents than dimensions: as many vectors as there are."""
     weights = lsi.tfidf(spark.createDataFrame([(0, "a red shoe"), (1, "blue kettle"), (2, "blue kettle")], "doc_id long, text string"))
