@@ -6,6 +6,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,15 +60,83 @@ def matched(terms: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     return found.select("doc_id", "term", "tf", F.sum("size").over(Window.partitionBy("doc_id")).alias("dl"))
 
 
+def _counted(batches, known):
+    """(doc_id, dl, term numbers, counts) from (doc_id, words): how often each document has the known terms."""
+    for batch in batches:
+        words = batch.column(1)
+        ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+        found = pc.index_in(words.flatten(), value_set=known)
+        has = found.is_valid().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(words)), np.diff(ends))[has]
+        both, tf = np.unique(row * len(known) + found.drop_null().to_numpy().astype(np.int64), return_counts=True)
+        row, term = np.divmod(both, max(1, len(known)))
+        at = pa.array(np.searchsorted(row, np.arange(len(words) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (term, tf)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), *lists], names=["doc_id", "dl", "terms", "tfs"])
+
+
+def _best_scores(batches, matrix, avgdl, k):
+    """(q, doc_id, score): rows that may be among the k best, from (doc_id, dl, terms, tfs) and weights by term and query.
+
+    A score below the k-th best that the task has met cannot be among them; equal ones stay.
+    """
+    least = np.full(matrix.shape[1], -np.inf)
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            dl, ends = part.column(1).to_numpy(), part.column(2).offsets.to_numpy()
+            row = np.repeat(np.arange(len(dl)), np.diff(ends))
+            tf = part.column(3).flatten().to_numpy().astype(np.float64)
+            cells = np.zeros((len(dl), matrix.shape[0]))
+            cells[row, part.column(2).flatten().to_numpy()] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl))
+            scores = np.round(cells @ matrix, 6)
+            if len(dl) >= k:
+                least = np.maximum(least, np.partition(scores, len(dl) - k, axis=0)[len(dl) - k])
+            i, q = np.nonzero((scores > 0) & (scores >= least))
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), part.column(0).take(pa.array(i)), pa.array(scores[i, q])], names=["q", "doc_id", "score"])
+
+
+def _bm25_in_place(asked: DataFrame, known: list, ids: list, docs: DataFrame, k: int) -> DataFrame:
+    """:func:`bm25` for a batch whose weights every task may hold: documents are counted and scored where they are read."""
+    spark, key = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    words = docs.select("doc_id", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
+    rows = staged(words.mapInArrow(partial(_counted, known=pa.array(known, pa.string())), f"doc_id {key}, dl long, terms array<int>, tfs array<int>"), "postings")
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+    twice = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("id"))
+    if not (twice := staged(twice, "repeated")).isEmpty():
+        # rows of one id are one document
+        same = F.col("doc_id").eqNullSafe(F.col("id"))
+        each = rows.join(twice, same, "left_semi").select("doc_id", "dl", F.explode(F.concat(F.arrays_zip("terms", "tfs"), F.array(F.struct(F.lit(-1).alias("terms"), F.lit(0).alias("tfs"))))).alias("x"))
+        each = each.groupBy("doc_id", F.col("x.terms").alias("term")).agg(F.sum("x.tfs").cast("int").alias("tf"), F.sum("dl").alias("dl"))
+        inside = lambda c: F.collect_list(F.when(F.col("term") >= 0, F.col(c)))
+        each = each.groupBy("doc_id").agg(F.max(F.when(F.col("term") < 0, F.col("dl"))).alias("dl"), inside("term").alias("terms"), inside("tf").alias("tfs"))
+        rows = staged(rows.join(twice, same, "left_anti").unionByName(each), "merged")
+    n = total["n"]
+    df = {r["term"]: r["c"] for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("c")).collect()}
+    term, query = ({x: i for i, x in enumerate(xs)} for xs in (known, ids))
+    matrix = np.zeros((len(known), len(ids)))
+    for r in asked.toLocalIterator():
+        c = df.get(term[r["term"]], 0)
+        matrix[term[r["term"]], query[r["query_id"]]] = r["qtf"] * np.log(1 + (n - c + 0.5) / (c + 0.5))
+    best = rows.mapInArrow(partial(_best_scores, matrix=matrix, avgdl=max(total["t"] / max(1, n), 1e-9), k=k), f"q int, doc_id {key}, score double")
+    names = spark.createDataFrame([(i, x) for x, i in query.items()], f"q int, query_id {dict(asked.dtypes)['query_id']}")
+    return top(best.join(F.broadcast(names), "q").select("query_id", "doc_id", "score"), k, [F.desc("score"), F.asc("doc_id")])
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """(query_id, doc_id, score, rank): repeated query terms count again, ties to smaller ids.
 
     The texts are read once: the postings that hold a query term are written with the lengths
-    of all documents, and counts, idf and scores are aggregations of that table. Scores are
-    rounded before ranking so that the order of summation cannot swap ties.
+    of all documents, and counts, idf and scores follow from that table. A batch of up to
+    QUERY_CELLS terms by queries is scored where the documents lie, a larger one by joins. Scores
+    are rounded before ranking so that the order of summation cannot swap ties.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     asked = staged(asked, "asked")
+    size = asked.agg(F.countDistinct("term").alias("terms"), F.countDistinct("query_id").alias("queries"), F.count(F.when(F.col("query_id").isNull(), 1)).alias("unnamed")).first()
+    if 0 < size["terms"] * size["queries"] <= QUERY_CELLS // 4 and not size["unnamed"]:
+        known, ids = ([r[0] for r in asked.select(c).distinct().orderBy(c).collect()] for c in ("term", "query_id"))
+        return _bm25_in_place(asked, known, ids, docs, k)
     rows = staged(matched(asked.select("term").distinct(), docs), "postings")
     total = rows.where("term = ''").agg(F.sum("tf").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
     n = total["n"] or 0

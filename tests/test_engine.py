@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,20 @@ def test_latent_vectors_keep_neighbours(spark):
     assert v[0] @ v[1] > 0.9 and abs(v[0] @ v[2]) < 0.1
 
 
+def test_bm25_in_place_and_by_joins_agree(spark, monkeypatch):
+    """Repeated and null ids, null texts, ties and unknown words; only rows near the best leave the tasks that read the documents."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(1, 12)))) for i in range(700)]
+    docs = spark.createDataFrame([*docs, (5, "a a b"), (6, ""), (None, "a c"), (None, "b"), (701, None)], "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "a a q"), (2, "b c"), (3, "q"), (4, "")], "query_id long, query string")
+    got = sorted(rows(retrieval.bm25(asked, docs, 5)), key=str)
+    known, weights = pa.array(list("abc"), pa.string()), np.array([[1.0], [0.5], [0.2]])
+    batches = [pa.record_batch({"doc_id": np.arange(700), "w": [[w] * 3 for w in "abcd" * 175]})]
+    assert sum(b.num_rows for b in retrieval._best_scores(retrieval._counted(batches, known), weights, 3.0, 5)) < 525  # of 525 with a score
+    monkeypatch.setattr(retrieval, "QUERY_CELLS", 0)
+    assert len(got) == 10 and got == sorted(rows(retrieval.bm25(asked, docs, 5)), key=str)
+
+
 def test_weights_stay_with_their_documents(spark, monkeypatch):
     """Many groups, repeated and null ids, null texts: right weights, and no shuffle by term or document of the matrix."""
     monkeypatch.setattr(lsi, "GROUP_CHARS", 20)
